@@ -44,15 +44,15 @@ def _cells(h: Column) -> list[Column]:
     return [F.shiftrightunsigned(h, by).bitwiseAND(F.lit(CELLS - 1)).cast("int") for by in (16, 40)]
 
 
-def repeated_cells(hashes: DataFrame, h: str, blocks: int) -> DataFrame:
-    """(__block, __bitmap) of the cells that two or more rows hit."""
+def repeated_cells(hashes: DataFrame, h: str, blocks: int, least: int = 2) -> DataFrame:
+    """(__block, __bitmap) of the cells that `least` or more rows hit."""
     one, two = _cells(F.col(h))
     # a row's two cells may be equal: it then counts once
     cells = F.when(one == two, F.array(one)).otherwise(F.array(one, two))
     return (
         hashes.select(_block(F.col(h), blocks).alias("__block"), F.explode(cells).alias("__cell"))
         .groupBy("__block", "__cell").agg(F.count(F.lit(1)).alias("__n"))
-        .where("__n > 1")
+        .where(F.col("__n") >= least)
         .groupBy("__block").agg(F.expr("bitmap_construct_agg(cast(__cell as bigint))").alias("__bitmap"))
     )
 
@@ -70,6 +70,16 @@ def maybe_repeated(rows: DataFrame, h: str, bitmaps: DataFrame, blocks: int) ->
     )
 
 
+def among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key (long) is in keys (one column, few of the rows): a Bloom filter of the keys, bounded as above, stops
+    most of the others before the exact semi-join shuffles what is left. Null keys match nothing."""
+    name = keys.columns[0]
+    blocks = blocks_for(keys.count())
+    bitmaps = repeated_cells(keys.select(F.xxhash64(name).alias("__h")), "__h", blocks, 1)
+    near = maybe_repeated(rows.withColumn("__h", F.xxhash64(key)), "__h", bitmaps, blocks).where("__maybe").drop("__h", "__maybe")
+    return near.join(keys.select(F.col(name).alias("__key")), F.col(key) == F.col("__key"), "left_semi")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
