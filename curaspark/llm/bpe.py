@@ -18,6 +18,7 @@ SLOTS, ARENA = 1 << 20, 1 << 22
 #: Longer pre-tokens are merged one by one with a heap, in n log n.
 LONG = 200
 NONE = np.int64(1) << 40
+DECODE_ROWS = 256
 
 
 class Merges:
@@ -223,9 +224,11 @@ class PieceCache:
 
 
 class Encoder:
+    """The cache is made when first needed: a worker that only decodes has none."""
+
     def __init__(self, path: str):
         self.vocabulary = load(path)
-        self.cache = PieceCache(self.vocabulary)
+        self.cache: PieceCache | None = None
         self.flat = np.frombuffer(b"".join(self.vocabulary.tokens), np.uint8)
         self.at = np.cumsum(self.vocabulary.lengths) - self.vocabulary.lengths
 
@@ -233,6 +236,8 @@ class Encoder:
         """Packed ids (little-endian, 32 bits) of each row of a UTF-8 buffer."""
         if not len(raw):
             return [b""] * (len(off) - 1)
+        if self.cache is None:
+            self.cache = PieceCache(self.vocabulary)
         starts = pretok.boundaries(raw, off)
         where, length = self.cache.find(raw.tobytes(), raw, starts, np.append(starts[1:], len(raw)))
         ids = gather(self.cache.arena, where, length).astype("<u4").tobytes()
@@ -266,13 +271,12 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         enc = encoder(vocabulary)
         for batch in batches:
             raw, off = textops.buffers(batch.column(1))
-            packed: list[bytes] = []
             for lo, hi in textops.chunks(off):
-                packed += enc.encode(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            columns = [batch.column(0), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())]
-            if offsets:
-                columns.append(pa.array([_offsets(enc, p) for p in packed], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids", "offsets"][: len(columns)])
+                packed = enc.encode(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                columns = [batch.column(0).slice(lo, hi - lo), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())]
+                if offsets:
+                    columns.append(pa.array([_offsets(enc, p) for p in packed], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids", "offsets"][: len(columns)])
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids binary" + ", offsets binary" * offsets)
     return out.withColumnRenamed("id", id_col)
@@ -291,8 +295,10 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFra
 
     def run(batches):
         enc = encoder(vocabulary)
-        for batch in batches:
-            text = [None if p is None else enc.decode(p) for p in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.binary())], names=[*names, "decoded"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, DECODE_ROWS):
+                batch = whole.slice(lo, DECODE_ROWS)
+                text = [enc.decode(p.as_py()) if p.is_valid else None for p in batch.column(at)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.binary())], names=[*names, "decoded"])
 
     return encoded.select(*names).mapInArrow(run, f"{spec}, decoded binary")

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; bounds the memory of every numpy pass below.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -89,7 +89,7 @@ _inverse = np.ones(1, np.uint64)
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverse
     if len(_powers) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         for base, keep in ((_BASE, 0), (_BASE_INV, 1)):
             out = np.full(size, base, np.uint64)
             out[0] = 1
