@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from curaspark.plans import selection_queries, table_queries
+
+QUERIES: dict = selection_queries.QUERIES | table_queries.QUERIES
+ORACLE_SQL: dict = selection_queries.ORACLE_SQL | table_queries.ORACLE_SQL
