@@ -22,19 +22,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curaspark.llm import exact_dedup, textops
-from curaspark.llm.storage import new_path, release_shuffles
+from curaspark.llm.storage import drop, materialize, new_path, release_shuffles
 
 WINDOW = 13
-GRAM = 5
+GRAM = 4
 MAX_RUNS = 4
 #: Windows of one row at most.
 ROW_WINDOWS = 64
 WIN_BYTES = 5
 CHUNK = 256 << 10
+MERGE_ROWS = 8_192
 
 _U = np.uint64
 ROW_SPEC = "anchor long, doc long, pos long, n int, wins binary"
@@ -136,11 +137,14 @@ class Merger:
         self.with_index = with_index
         self.anchor: int | None = None
         self.wins, self.docs = np.zeros(0, _U), np.zeros(0, np.int64)
+        self.pending = np.zeros(0, _U)
 
     def feed(self, batch: pa.RecordBatch):
         anchor, doc, pos, n = (batch.column(i).to_numpy() for i in range(4))
         if not len(anchor):
             return
+        if (anchor[1:] < anchor[:-1]).any() or ((anchor[1:] == anchor[:-1]) & (doc[1:] < doc[:-1])).any() or (self.anchor is not None and anchor[0] < self.anchor):
+            raise ValueError("rows are not sorted by anchor and document")
         decided = batch.column(4).is_null().to_numpy(zero_copy_only=False)
         values, counts = unpacked(batch.column(4))
         row = np.repeat(np.arange(len(anchor)), counts)
@@ -152,7 +156,7 @@ class Merger:
             e_doc.append(self.docs)
         past = np.iinfo(np.int64).min
         for i in range(5, batch.num_columns):
-            head = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+            head = np.flatnonzero(batch.column(i).is_valid().to_numpy(zero_copy_only=False))
             old, m = unpacked(batch.column(i).take(pa.array(head)))
             e_anchor.append(np.repeat(anchor[head], m))
             e_win.append(old)
@@ -177,12 +181,13 @@ class Merger:
             if self.anchor is not None and self.anchor == anchor[0]:
                 new &= ~((anchor[row] == self.anchor) & np.isin(values, self.wins))
             used = np.flatnonzero(new)
-            if len(used):
-                ra = anchor[row[used]]
-                heads = np.flatnonzero(np.concatenate([[True], ra[1:] != ra[:-1]]))
-                size = np.diff(np.append(heads, len(used)))
-                none = pa.nulls(len(heads), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ra[heads]), none, none, pa.nulls(len(heads), pa.int32()), packed(values[used], size)], names=["anchor", "doc", "pos", "n", "wins"])
+            fresh_anchor, fresh = anchor[row[used]], values[used]
+            if len(self.pending):
+                fresh_anchor = np.concatenate([np.full(len(self.pending), self.anchor, np.int64), fresh_anchor])
+                fresh = np.concatenate([self.pending, fresh])
+            whole = fresh_anchor != anchor[-1]  # the last anchor may go on: an anchor has one row in a run
+            self.pending = fresh[~whole]
+            yield from self.index_rows(fresh_anchor[whole], fresh[whole])
         last = a == anchor[-1]
         wins, inverse = np.unique(w[last], return_inverse=True)
         docs = np.full(len(wins), np.iinfo(np.int64).max)
@@ -190,6 +195,19 @@ class Merger:
         self.anchor, self.wins, self.docs = int(anchor[-1]), wins, docs
 
 
+    def index_rows(self, anchor: np.ndarray, fresh: np.ndarray):
+        if not len(anchor):
+            return
+        heads = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        size = np.diff(np.append(heads, len(anchor)))
+        none = pa.nulls(len(heads), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(anchor[heads]), none, none, pa.nulls(len(heads), pa.int32()), packed(fresh, size)], names=["anchor", "doc", "pos", "n", "wins"])
+
+    def finish(self):
+        if len(self.pending):
+            yield from self.index_rows(np.full(len(self.pending), self.anchor, np.int64), self.pending)
+
+
 def _first(key: np.ndarray) -> np.ndarray:
     """Marks the first entry of each key."""
     out = np.zeros(len(key), bool)
@@ -206,12 +224,21 @@ class SubstringIndex:
     window: int = WINDOW
     gram: int = GRAM
     runs: list[str] = field(default_factory=list)
+    paths: dict[str, str] = field(default_factory=dict)
 
     def _table(self, df: DataFrame, kind: str) -> str:
-        name = f"curaspark_{kind}_{uuid.uuid4().hex[:12]}"
-        df.write.format("parquet").bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", new_path(self.spark, kind)).saveAsTable(name)
+        name, path = f"curaspark_{kind}_{uuid.uuid4().hex[:12]}", new_path(self.spark, kind)
+        df.write.format("parquet").bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", path).saveAsTable(name)
+        self.paths[name] = path
         return name
 
+    def drop(self) -> None:
+        """Deletes all tables that this index has written, also those of hits: for an index that nothing reads any more."""
+        for name, path in self.paths.items():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            drop(self.spark, path)
+        self.paths, self.runs = {}, []
+
     def history(self) -> list[DataFrame]:
         return [self.spark.table(t).where("doc is null").select("anchor", "wins") for t in self.runs]
 
@@ -220,17 +247,23 @@ class SubstringIndex:
 
         With keep, the batch's new windows join the index. Ids must be greater than those of earlier batches.
         """
-        rows = map_rows(docs, self.window, self.gram).repartition(self.buckets, "anchor")
-        for i, run in enumerate(self.history()):
-            rows = rows.join(run.withColumnRenamed("wins", f"old{i}"), "anchor", "left")
+        rows = map_rows(docs, self.window, self.gram).repartition(self.buckets, "anchor").sortWithinPartitions("anchor", "doc", "pos")
+        columns = rows.columns
+        if self.runs:  # an anchor's history goes to its first row only; left joins keep the rows' order
+            rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("anchor").orderBy("doc", "pos")))
+            for i, run in enumerate(self.history()):
+                old = run.select(F.col("anchor").alias("a"), F.col("wins").alias(f"old{i}"))
+                rows = rows.join(old, (F.col("anchor") == F.col("a")) & (F.col("rn") == 1), "left").drop("a")
+                columns.append(f"old{i}")
 
         def merge(batches):
             merger = Merger(keep)
             for batch in batches:
-                for lo in range(0, batch.num_rows, 8192):
-                    yield from merger.feed(batch.slice(lo, 8192))
+                for lo in range(0, batch.num_rows, MERGE_ROWS):
+                    yield from merger.feed(batch.slice(lo, MERGE_ROWS))
+            yield from merger.finish()
 
-        merged = rows.sortWithinPartitions("anchor", "doc", "pos").mapInArrow(merge, ROW_SPEC)
+        merged = rows.select(*columns).mapInArrow(merge, ROW_SPEC)
         table = self._table(merged, "run")
         hits = self.spark.table(table).where("doc is not null").select("doc", "pos", "n")
         if keep:
@@ -249,7 +282,7 @@ class SubstringIndex:
         self.runs = [self._table(first.select("anchor", *none, F.concat(*parts).alias("wins")), "compacted")]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = 2, keep_columns: bool = False, index: SubstringIndex | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = 4, keep_columns: bool = False, index: SubstringIndex | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: words left (joined by one space) after removing repeated windows.
 
     A word goes if a window that covers it also starts in a document with a smaller id, or in the index given (whose
@@ -280,6 +313,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         found = index.add(batch, keep=lasting or i < len(bounds) - 2)
         hits = found if hits is None else hits.unionByName(found)
         release_shuffles(spark)
+    hits = materialize(hits, "hits")
+    if not lasting:
+        index.drop()
     spans = hits.select(F.col("doc").alias("h_id"), F.shiftrightunsigned("pos", 32).alias("h_tag"), F.col("pos").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"), "n")
     spans = spans.groupBy("h_id", "h_tag").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
     keys = hits.select(F.xxhash64("doc", F.shiftrightunsigned("pos", 32)).alias("k")).distinct()
