@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curaspark.plans import selection_queries, table_queries
+from curaspark.plans import collection_queries, selection_queries, table_queries
 
-QUERIES: dict = selection_queries.QUERIES | table_queries.QUERIES
-ORACLE_SQL: dict = selection_queries.ORACLE_SQL | table_queries.ORACLE_SQL
+QUERIES: dict = selection_queries.QUERIES | table_queries.QUERIES | collection_queries.QUERIES
+ORACLE_SQL: dict = selection_queries.ORACLE_SQL | table_queries.ORACLE_SQL | collection_queries.ORACLE_SQL
