@@ -23,8 +23,8 @@ SLOTS = 64
 DIGITS, EMPTY = 4, 0xFFFF
 #: Longer words are cut into units of so many bytes.
 UNIT = 32
-#: Rows that one task orders at most, but for runs of equal ids.
-PART_ROWS = 4_096
+#: Rows of a range of ids, until MAX_PARTS ranges bound the plan; larger ranges are streamed as well.
+PART_ROWS, MAX_PARTS = 4_096, 2_000
 #: Bytes of text that are parsed at a time.
 GROUP = 2 << 20
 
@@ -123,13 +123,13 @@ def edited(text: str, following: str) -> str:
 
 
 def _by_part(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(part, halo, id, text): rows in bounded ranges of ids; a range's last row is the first of the next (halo).
+    """(part, halo, id, text): rows in ranges of ids; a range's last row is the first of the next (halo).
 
     Bounds are ids that occur, so the row that a range must borrow is known without looking at other tasks.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     stats = rows.agg(F.count(F.lit(1)), F.min("id"), F.count_if(F.col("id").isNull())).first()
-    parts = max(1, -(-stats[0] // PART_ROWS))
+    parts = min(MAX_PARTS, max(1, -(-stats[0] // PART_ROWS)))
     bounds: list[int] = []
     if parts > 1:
         quantiles = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
