@@ -70,7 +70,7 @@ def hamming_join(rows: DataFrame, group: str, key: str, hash_hex: str, distance:
     """Pairs (a < b) of a group whose 16-digit hex hashes differ in at most `distance` bits.
 
     By the pigeonhole principle two such hashes agree in one of distance + 1 bands of bits: an equi-join on (group, band,
-    bits), then the exact distance. Equal hashes are joined once, through their bands' first rows.
+    bits), then the exact distance. Rows of equal hashes pair with each other: reduce them first where they are many.
     """
     from curaspark.functions.hashing import hamming_hex
 
