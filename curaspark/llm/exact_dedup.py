@@ -106,8 +106,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         marked = materialize(marked, "digests")
     once = marked.where("not __maybe").withColumns({"__keep": F.col("__id"), "__size": F.lit(1).cast("long")})
     again = marked.where("__maybe")
-    groups = again.groupBy("__sha").agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__size"))
-    several = again.join(groups, "__sha").select(*once.columns)
+    # only groups of several rows, as a table: both sides of the join are then plain exchanges, which Spark splits where hot
+    groups = materialize(again.groupBy("__sha").agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__size")).where("__size > 1"), "groups")
+    several = again.join(groups, "__sha", "left").withColumns({"__keep": F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__keep")), "__size": F.coalesce("__size", F.lit(1).cast("long"))}).select(*once.columns)
     return once.unionByName(several).select(
         F.col("__id").alias(id_col),
         *[F.col(f"__x{i}").alias(c) for i, c in enumerate(carried)],
