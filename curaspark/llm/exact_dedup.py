@@ -84,8 +84,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; a null text is empty. Of equal texts the row with the
-    largest id stays (a null id counts as smallest; a group of null ids only keeps no id, and all its rows are kept
-    false but one stays reachable through keep_id null). Rows repeated with the same id and text are each kept when
+    largest id stays (a null id counts as smallest; of a group of null ids only, keep_id is null and any one row is
+    kept). Rows repeated with the same id and text are each kept when
     their id is the kept one. Unequal texts never meet. With keep_columns the input's columns come first; those
     named like an output are replaced. An empty table gives no rows.
     """
@@ -104,17 +104,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = maybe_repeated(rows, "__h", bitmaps, blocks).drop("__h")
     if not carried:  # ids and digests only: texts are read and hashed once for the three uses below
         marked = materialize(marked, "digests")
-    once = marked.where("not __maybe").withColumns({"__keep": F.col("__id"), "__size": F.lit(1).cast("long")})
+    none = F.lit(None).cast("long")
+    once = marked.where("not __maybe").withColumns({"__tag": none, "__keep": F.col("__id"), "__size": F.lit(1).cast("long"), "__first": none})
+    # rows of null ids are told apart by a tag, which must be the same at both uses below: hence a table
     again = marked.where("__maybe")
+    nameless = materialize(again.where("__id is null").withColumn("__tag", F.monotonically_increasing_id()), "nameless")
+    again = again.where("__id is not null").withColumn("__tag", none).unionByName(nameless)
     # only groups of several rows, as a table: both sides of the join are then plain exchanges, which Spark splits where hot
-    groups = materialize(again.groupBy("__sha").agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__size")).where("__size > 1"), "groups")
+    groups = materialize(again.groupBy("__sha").agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__size"), F.min("__tag").alias("__first")).where("__size > 1"), "groups")
     several = again.join(groups, "__sha", "left").withColumns({"__keep": F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__keep")), "__size": F.coalesce("__size", F.lit(1).cast("long"))}).select(*once.columns)
     return once.unionByName(several).select(
         F.col("__id").alias(id_col),
         *[F.col(f"__x{i}").alias(c) for i, c in enumerate(carried)],
         F.col("__keep").alias("keep_id"),
         F.col("__size").alias("group_size"),
-        F.coalesce(F.col("__id") == F.col("__keep"), F.col("__size") == 1).alias("kept"),
+        F.when(F.col("__keep").isNotNull(), F.coalesce(F.col("__id") == F.col("__keep"), F.lit(False))).otherwise((F.col("__size") == 1) | F.coalesce(F.col("__tag") == F.col("__first"), F.lit(False))).alias("kept"),
         F.col("__sha").alias("text_sha256"),
     )
 

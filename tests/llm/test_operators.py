@@ -226,6 +226,16 @@ def test_lm_is_a_distribution(docs):
         assert p.sum() == pytest.approx(1)
 
 
+def test_exact_dedup_keeps_one_row_of_null_ids(spark):
+    rows = [(None, t) for t in ["same"] * 5 + ["Same", "other", "other", "alone", "named", "named"]] + [(7, "named"), (3, "named")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for keep_columns in (False, True):
+        got = exact_dedup.exact_dedup(df, keep_columns=keep_columns)
+        assert got.count() == len(rows)
+        by_text = got.where("kept").groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("i")).collect()
+        assert {r.text_sha256: (r.n, r.i) for r in by_text} == {hashlib.sha256(t.encode()).hexdigest(): (1, i) for t, i in [("same", None), ("other", None), ("alone", None), ("named", 7)]}
+
+
 def fingerprint(text, n):
     w = WORD.findall((text or "").translate(LOW))
     grams = [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] if len(w) >= n else [" ".join(w)] if w else []
