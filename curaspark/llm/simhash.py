@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curaspark.llm import exact_dedup, textops
+from curaspark.llm import exact_dedup, set_join, textops
 from curaspark.llm.components import components
 from curaspark.llm.storage import materialize
 
@@ -262,23 +262,67 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, grams array<long>")
 
 
+def nodes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(id, fp, n, s1, s2, prefix): the fingerprint, and of the set of distinct shingles the size, a 128-bit hash and the prefix."""
+
+    def run(batches):
+        for batch in batches:
+            raw, off = textops.buffers(batch.column(1))
+            for lo, hi in textops.chunks(off, 1 << 20):
+                h, edges = shingle_hashes(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], shingle)
+                sets = [np.unique(h[a:b]) for a, b in zip(edges, edges[1:])]
+                n = np.array([len(x) for x in sets], np.int64)
+                names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
+                bounds = np.concatenate([[0], np.cumsum(n)])
+                prefix, cuts = set_join.prefixes(np.concatenate([np.zeros(0, np.uint64), *sets]), bounds, similarity, often)
+                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(prefix.view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(majority(h, edges).view(np.int64)), pa.array(n.astype(np.int32)), pa.array(names[:, 0]), pa.array(names[:, 1]), lists],
+                    names=["id", "fp", "n", "s1", "s2", "prefix"],
+                )
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, fp long, n int, s1 long, s2 long, prefix array<long>")
+
+
 def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 10, similarity: float = 0.8) -> DataFrame:
-    """(node, root) of near copies: SimHash links whose shingle sets have a Jaccard similarity of `similarity` or more.
+    """(node, root) of near copies: all that links of shingle sets with a Jaccard similarity of `similarity` or more join.
 
+    Nodes are the distinct shingle sets. SimHash links of up to `distance` bits, verified, join most near copies; then every
+    pair of sets that prefix filtering leaves is verified, but those in one group by verified links.
     Every id but the smallest of its group has a row. Ids must be unique; null ids are in no group.
     """
-    prints = materialize(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    same = prints.join(distinct, "fp").where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
+    docs = docs.where(F.col(id_col).isNotNull())
+    part = max(1, docs.count() // set_join.SAMPLE)
+    often = set_join.frequent(shingle_sets(docs.where(F.pmod(F.xxhash64(id_col), F.lit(part)) == 0), id_col, text_col, shingle))
+    prints = materialize(nodes(docs, id_col, text_col, shingle, similarity, often), "fingerprints")
+    equal = prints.groupBy("s1", "s2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    twins = materialize(prints.select("id", "s1", "s2").join(equal, ["s1", "s2"]).where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")), "twins")
+    single = prints.join(twins, F.col("id") == F.col("u"), "left_anti")
+
+    distinct = materialize(single.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    same = single.select("id", "fp").join(distinct, "fp").where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
     links = near_links(distinct, distance, 64).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     name = lambda c: distinct.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_id"))
-    other = links.join(name("u"), "u").join(name("v"), "v").select(F.col("u_id").alias("u"), F.col("v_id").alias("v"))
-    pairs = materialize(same.unionByName(other), "pairs")
+    other = links.join(name("u"), "u").join(name("v"), "v").select(F.greatest("u_id", "v_id").alias("u"), F.least("u_id", "v_id").alias("v"))
+    tried = materialize(same.unionByName(other), "pairs")
+    kept = materialize(twins.unionByName(similar(docs, tried, id_col, text_col, shingle, similarity)), "kept")
+
+    rows = set_join.postings(single)
+    for hub in (True, False):  # links to one set of each bucket first: what they join needs no other comparison
+        found = set_join.candidates(rows, components(kept), similarity, hub).join(tried, ["u", "v"], "left_anti")
+        found = materialize(found, "pairs")
+        kept = materialize(kept.unionByName(similar(docs, found, id_col, text_col, shingle, similarity)), "kept")
+        tried = tried.unionByName(found)
+    return components(kept)
+
+
+def similar(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) of ids whose shingle sets have a Jaccard similarity of `similarity` or more."""
     ends = materialize(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ends")
     sets = shingle_sets(exact_dedup.among(docs.select(id_col, text_col), id_col, ends), id_col, text_col, shingle)
     sets = materialize(sets, "shingles")
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("grams").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     union = F.size("a") + F.size("b") - shared
-    kept = both.where((union == 0) | (shared >= F.lit(similarity) * union)).select("u", "v")
-    return components(kept)
+    return both.where((union == 0) | (shared >= F.lit(similarity) * union)).select("u", "v")

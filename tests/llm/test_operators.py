@@ -310,6 +310,53 @@ def test_verified_groups(spark):
     assert {(r.node, r.root) for r in simhash.verified_groups(df).collect()} == {(2, 1)}
 
 
+def grams_of(text, n=5):
+    w = WORD.findall((text or "").translate(LOW))
+    return frozenset(" ".join(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([" ".join(w)] if w else [])
+
+
+def near_groups(rows, least=0.8):
+    """{node: root} by comparing every pair of shingle sets, and the pairs that are near."""
+    sets, root, pairs = {i: grams_of(t) for i, t in rows}, {i: i for i, _ in rows}, []
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b:
+                shared, union = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+                if not union or shared >= least * union:
+                    pairs.append((a, b, shared / union if union else 1.0))
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets if find(i) != i}, pairs
+
+
+def copies(seed, pairs):
+    """Pairs of texts of a similarity of 0.75 to 1: words changed one by one."""
+    rng, rows = random.Random(seed), []
+    for k in range(pairs):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 200))]
+        other = list(base)
+        for _ in range(rng.randrange(1, 1 + max(1, len(base) // 45))):
+            other[rng.randrange(len(base))] = "new"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    return rows
+
+
+def test_near_copies_are_all_found(spark):
+    rows = copies(3, 300)
+    want, pairs = near_groups(rows)
+    print_of = {i: fingerprint(t, 5) for i, t in rows}
+    far = [p for p in pairs if bin(print_of[p[0]] ^ print_of[p[1]]).count("1") > 10]
+    assert len(far) > 10 and min(p[2] for p in pairs) < 0.82  # fingerprints alone miss these
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.node: r.root for r in simhash.verified_groups(df).collect()} == want
+
+
 def kept_words(rows, window=13):
     words = {i: WORD.findall(t or "") for i, t in rows}
     first = {}
