@@ -357,6 +357,19 @@ def test_near_copies_are_all_found(spark):
     assert {r.node: r.root for r in simhash.verified_groups(df).collect()} == want
 
 
+def test_near_copies_that_repeat_lines_and_large_buckets(spark):
+    rng = random.Random(4)
+    line = [f"l{i}" for i in range(12)]
+    rows = []
+    for i in range(120):  # one repeated line rules the fingerprint; rests differ, and some are copies
+        rest = [f"r{i // 4}x{j}" for j in range(rng.randrange(16, 30))]
+        rows.append((i, " ".join(line * rng.randrange(1, 40) + rest)))
+    want, _ = near_groups(rows)
+    assert len(want) > 20 and len(set(want.values())) > 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.node: r.root for r in simhash.verified_groups(df).collect()} == want
+
+
 def kept_words(rows, window=13):
     words = {i: WORD.findall(t or "") for i, t in rows}
     first = {}
