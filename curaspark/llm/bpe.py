@@ -171,42 +171,89 @@ def gather(source: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return source[at]
 
 
+#: Numbers of 8 bytes that hold a pre-token in the cache; longer ones are in a dictionary.
+KEY_BLOCKS = 4
+#: Pre-tokens in that dictionary.
+LONG_KEPT = 4_096
+
+
+class PreTokens:
+    """Which pre-tokens a worker knows: a direct-mapped table of the pre-tokens themselves. Hashes only choose slots."""
+
+    def __init__(self):
+        self.key = np.zeros((KEY_BLOCKS, SLOTS), np.uint64)
+        self.size = np.full(SLOTS, -1, np.int32)
+
+    def look(self, data: bytes, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray):
+        """Each pre-token's slot, those that are not there, and among these an occurrence of each distinct one and which one each is."""
+        h = textops.word_hashes(raw, starts, stops)
+        slot = (h >> np.uint64(7)).astype(np.int64) & (SLOTS - 1)
+        size = stops - starts
+        blocks = textops.word_blocks(raw, starts, stops, KEY_BLOCKS)
+        known = (self.size[slot] == size) & (size <= 8 * KEY_BLOCKS)
+        for j in range(KEY_BLOCKS):
+            known &= self.key[j][slot] == blocks[j]
+        missing = np.flatnonzero(~known)
+        order = missing[np.argsort(h[missing], kind="stable")]
+        a, b = order[:-1], order[1:]
+        same = (h[a] == h[b]) & (size[a] == size[b]) & (blocks[:, a] == blocks[:, b]).all(axis=0)
+        for i in np.flatnonzero(same & (size[a] > 8 * KEY_BLOCKS)).tolist():
+            same[i] = data[starts[a[i]] : stops[a[i]]] == data[starts[b[i]] : stops[b[i]]]
+        new = np.ones(len(order), bool)
+        new[1:] = ~same
+        self.slot, self.blocks, self.sizes = slot, blocks, size
+        return slot, order, order[new], np.cumsum(new) - 1
+
+    def put(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Enters these occurrences of the last look(): which of them got a slot, and the slots."""
+        fit = np.flatnonzero(self.sizes[first] <= 8 * KEY_BLOCKS)
+        to = self.slot[first[fit]]
+        fit = fit[np.sort(np.unique(to, return_index=True)[1])]  # one pre-token a slot
+        to = self.slot[first[fit]]
+        self.key[:, to], self.size[to] = self.blocks[:, first[fit]], self.sizes[first[fit]]
+        return fit, to
+
+
 class PieceCache:
-    """Ids of pre-tokens by 64-bit hash: a direct-mapped table into an arena of ids, both of fixed size.
+    """Ids of pre-tokens: a direct-mapped table into an arena of ids, both of fixed size.
 
-    Look-ups are three gathers for a whole batch. A slot holds the pre-token seen last; misses are merged once for
-    each distinct pre-token of the batch.
+    Look-ups are gathers for a whole batch, compared with the pre-tokens themselves. A slot holds the pre-token seen
+    last; misses are merged once for each distinct pre-token of the batch.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.hash = np.zeros(SLOTS, np.uint64)
+        self.known = PreTokens()
         self.start = np.zeros(SLOTS, np.int64)
         self.length = np.zeros(SLOTS, np.int32)
         self.arena = np.zeros(ARENA, np.uint32)
         self.used = 0
+        self.long: dict[bytes, np.ndarray] = {}
+
+    def merged(self, pieces: list[bytes]) -> list[np.ndarray]:
+        out = [np.array([self.vocabulary.seed[p]]) if p in self.vocabulary.seed else self.long.get(p) for p in pieces]
+        todo = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(todo, self.vocabulary.merges.many([pieces[i] for i in todo]), strict=True):
+            out[i] = ids
+            if 8 * KEY_BLOCKS < len(pieces[i]) <= LONG:
+                if len(self.long) >= LONG_KEPT:
+                    self.long.clear()
+                self.long[pieces[i]] = ids
+        return out
 
     def find(self, data: bytes, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where in self.arena each pre-token's ids are, until the next call."""
-        h = textops.word_hashes(raw, starts, stops)
-        slot = (h >> np.uint64(7)).astype(np.int64) & (SLOTS - 1)
-        missing = np.flatnonzero(self.hash[slot] != h)
+        slot, missing, first, which = self.known.look(data, raw, starts, stops)
         where, length = self.start[slot], self.length[slot]
         if len(missing):
-            fresh, first, inverse = np.unique(h[missing], return_index=True, return_inverse=True)
-            first = missing[first]
-            seed = self.vocabulary.seed
-            pieces = [data[i:j] for i, j in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
-            whole = [seed.get(p) for p in pieces]
-            merged = iter(self.vocabulary.merges.many([p for p, w in zip(pieces, whole, strict=True) if w is None]))
-            ids = [next(merged) if w is None else np.array([w]) for w in whole]
+            ids = self.merged([data[i:j] for i, j in zip(starts[first].tolist(), stops[first].tolist(), strict=True)])
             sizes = np.array([len(x) for x in ids], np.int64)
             flat = np.concatenate(ids).astype(np.uint32)
             if self.used + len(flat) > len(self.arena):  # start anew; this batch's hits are copied first
-                kept = np.ones(len(h), bool)
+                kept = np.ones(len(slot), bool)
                 kept[missing] = False
                 old = gather(self.arena, where[kept], length[kept].astype(np.int64))
-                self.hash[:] = 0
+                self.known.size[:] = -1
                 self.arena = np.zeros(max(ARENA, 2 * (len(old) + len(flat))), np.uint32)
                 self.arena[: len(old)] = old
                 ends = np.cumsum(length[kept])
@@ -215,11 +262,9 @@ class PieceCache:
             at = self.used + np.cumsum(sizes) - sizes
             self.arena[self.used : self.used + len(flat)] = flat
             self.used += len(flat)
-            to = (fresh >> np.uint64(7)).astype(np.int64) & (SLOTS - 1)
-            self.hash[to], self.start[to], self.length[to] = 0, 0, 0
-            keep = np.sort(np.unique(to, return_index=True)[1])  # one pre-token a slot, so that the three agree
-            self.hash[to[keep]], self.start[to[keep]], self.length[to[keep]] = fresh[keep], at[keep], sizes[keep]
-            where[missing], length[missing] = at[inverse], sizes[inverse]
+            fit, to = self.known.put(first)
+            self.start[to], self.length[to] = at[fit], sizes[fit]
+            where[missing], length[missing] = at[which], sizes[which]
         return where, length.astype(np.int64)
 
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text handled at once; bounds the memory of every numpy pass below.
 CHUNK_BYTES = 512 << 10
@@ -21,10 +22,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _U = np.uint64
-_rng = np.random.default_rng(20260101)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = _U(0x9E3779B97F4A7C15)
-_BASE_INV = _U(pow(int(_BASE), -1, 2**64))
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,43 +80,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
+#: Longer words are hashed one by one with XXH3.
+LONG_WORD = 64
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = max(n, 1 << 19)
-        for base, keep in ((_BASE, 0), (_BASE_INV, 1)):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            out = np.multiply.accumulate(out)
-            if keep:
-                _inverse = out
-            else:
-                _powers = out
-    return _powers, _inverse
+def word_blocks(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, n: int) -> np.ndarray:
+    """(n, words) little-endian numbers of 8 bytes: the first 8 * n bytes of each word, zeros after its end.
 
+    With its length, they are the word itself if it is not longer than that.
+    """
+    out = np.zeros((n, len(starts)), np.uint64)
+    at = np.arange(len(starts))
+    left = stops - starts
+    view = np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+    for j in range(n):
+        if j:
+            at = at[left[at] > 8 * j]
+            if not len(at):
+                break
+        out[j, at] = view[starts[at] + 8 * j] & _MASKS[np.minimum(left[at] - 8 * j, 8)]
+    return out
+
+
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges, from one prefix sum: sum of T[byte] * B**position, moved to position 0."""
-    power, inverse = _power(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * power[: len(raw)], out=total[1:])
-    return mix((total[stops] - total[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges: a finaliser over the length and each 8 bytes, XXH3 for words over LONG_WORD bytes.
+
+    Words of up to 8 bytes have equal hashes only if they are equal or differ in length. Other seeds are independent hashes.
+    """
+    n = stops - starts
+    out = mix(n.astype(np.uint64) + _U((seed * 0xD1B54A32D192ED03 + 0x9E3779B97F4A7C15) % 2**64))
+    if not len(n):
+        return out
+    blocks = word_blocks(raw, starts, stops, min(LONG_WORD, -(-int(n.max()) // 8) * 8) // 8)
+    at = np.arange(len(n))
+    for j, block in enumerate(blocks):
+        if j:
+            at = at[n[at] > 8 * j]
+        out[at] = mix(out[at] ^ block[at])
+    for i in np.flatnonzero(n > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : stops[i]].tobytes(), seed)
+    return out
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of n consecutive word hashes, for every start that has n words after it in the array."""
+    """Hashes of n consecutive word hashes, for every start that has n words after it in the array.
+
+    Sums of the words' finalised hashes, each at its place; the finaliser is no linear function of the place.
+    """
     m = len(h) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(m, np.uint64)
-    step = _U(1)
     for j in range(n):
-        out += h[j : j + m] * step
-        step = _U((int(step) * int(_BASE)) % 2**64)
+        out += mix(h + _U((j + 1) * int(_BASE) % 2**64))[j : j + m]
     return mix(out)
 
 

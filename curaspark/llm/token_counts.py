@@ -1,8 +1,8 @@
 """Token counts without token ids.
 
-In each batch the distinct pre-tokens are found by hash; pieces are counted once for each distinct pre-token (a
-worker remembers the counts), joined to the per-document pre-token frequencies, and summed. The join key never leaves
-the task: a shuffle of (document, pre-token, frequency) rows would move more bytes than the texts themselves.
+Each batch of texts becomes its table of (document, pre-token, frequency) and its table of distinct pre-tokens. Pieces are
+counted once for each distinct pre-token (a worker remembers the counts), joined to the frequencies, and summed. The tables
+never leave the task: as Spark rows the frequencies would take more bytes than the texts themselves.
 """
 
 from __future__ import annotations
@@ -18,28 +18,25 @@ from curaspark.llm import bpe, pretok, textops
 class Counter:
     def __init__(self, path: str):
         self.vocabulary = bpe.load(path)
-        #: counts by 64-bit hash, direct-mapped: a slot holds the pre-token seen last
-        self.hash = np.zeros(bpe.SLOTS, np.uint64)
+        self.known = bpe.PreTokens()
         self.pieces = np.zeros(bpe.SLOTS, np.int32)
 
-    def counts(self, data: bytes, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """Number of pieces of each pre-token, counted once for each distinct one."""
-        h = textops.word_hashes(raw, starts, stops)
-        slot = (h >> np.uint64(7)).astype(np.int64) & (bpe.SLOTS - 1)
-        out = self.pieces[slot]
-        missing = np.flatnonzero(self.hash[slot] != h)
-        if len(missing):
-            fresh, first, inverse = np.unique(h[missing], return_index=True, return_inverse=True)
-            first = missing[first]
-            tokens = [data[i:j] for i, j in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
-            seed = self.vocabulary.seed
-            rest = iter(self.vocabulary.merges.many([t for t in tokens if t not in seed]))
-            n = np.array([1 if t in seed else len(next(rest)) for t in tokens], np.int32)
-            to = (fresh >> np.uint64(7)).astype(np.int64) & (bpe.SLOTS - 1)
-            keep = np.unique(to, return_index=True)[1]  # one pre-token a slot
-            self.hash[to[keep]], self.pieces[to[keep]] = fresh[keep], n[keep]
-            out[missing] = n[inverse]
-        return out
+    def distinct(self, data: bytes, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each pre-token the number of its distinct one, and the number of pieces of each distinct one."""
+        slot, missing, first, which = self.known.look(data, raw, starts, stops)
+        hit = np.ones(len(slot), bool)
+        hit[missing] = False
+        number = np.empty(len(slot), np.int64)
+        slots, number[hit] = np.unique(slot[hit], return_inverse=True)
+        number[missing] = len(slots) + which
+        tokens = [data[i:j] for i, j in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
+        seed = self.vocabulary.seed
+        rest = iter(self.vocabulary.merges.many([t for t in tokens if t not in seed]))
+        fresh = np.array([1 if t in seed else len(next(rest)) for t in tokens], np.int32)
+        pieces = np.concatenate([self.pieces[slots], fresh])
+        fit, to = self.known.put(first)
+        self.pieces[to] = fresh[fit]
+        return number, pieces
 
     def segments(self, data: bytes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows cut at special strings, and which segments are special: these count one."""
@@ -73,12 +70,14 @@ class Counter:
             starts, stops = starts[~own], stops[~own]
         else:
             heads = np.zeros(0, np.int64)
-        total = np.zeros(len(raw) + 1, np.int64)  # by start, then summed over rows
+        row = lambda at: np.searchsorted(off, at, "right") - 1
+        total = np.bincount(row(heads), minlength=n)
         if len(starts):
-            total[starts + 1] = self.counts(data, raw, starts, stops)
-        total[heads + 1] = 1
-        np.cumsum(total, out=total)
-        return total[off[1:]] - total[off[:-1]]
+            number, pieces = self.distinct(data, raw, starts, stops)
+            # the frequencies (document, pre-token, times), joined to the pieces of the pre-token
+            pair, times = np.unique(row(starts) * len(pieces) + number, return_counts=True)
+            total = total + np.bincount(pair // len(pieces), times * pieces[pair % len(pieces)], n).astype(np.int64)
+        return total
 
 
 _counters: dict[str, Counter] = {}

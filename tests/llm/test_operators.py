@@ -460,3 +460,41 @@ def test_pipeline_stages(spark, docs, rows):
     assert packed.select("doc_id").distinct().count() == now.count()
     left = kept_words([(r.doc_id, r.text) for r in now.collect()])
     assert sum(x[1] for x in left.values()) <= 13  # what is left shares no passages but across cuts
+
+
+def thue_morse(n):
+    w = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_equal_letters_in_another_order_are_told_apart(spark):
+    """A word of 1,024 letters and its complement: equal under every polynomial hash modulo 2^64."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    pair = thue_morse(1024)
+    raw, off = textops.buffers(pa.array(list(pair)))
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.Encoder(path).encode(raw, off)] == [lib.encode_ordinary(t) for t in pair]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_counts.Counter(path).count(raw, off).tolist() == [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(list(pair), add_special_tokens=False)]
+    head = " ".join(f"w{i}" for i in range(12))
+    data = [(1, f"{head} {pair[0]}", "en", "a", 1), (2, f"{head} {pair[1]}", "en", "a", 1), (3, f"{head} {pair[0]}", "en", "a", 1)]
+    cut = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert cut == {1: 0, 2: 0, 3: 13}
+
+
+def test_pretokens_are_compared_whatever_their_hash(monkeypatch):
+    """With one hash for all, every answer is still right."""
+    monkeypatch.setattr(textops, "word_hashes", lambda raw, starts, stops, seed=0: np.zeros(len(starts), np.uint64))
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    texts = [r[1] or "" for r in corpus(30, 4)[:6]] + ["y" * 40 + " " + "z" * 40 + " " + "y" * 40]
+    raw, off = textops.buffers(pa.array(texts))
+    one = bpe.Encoder(path)
+    for _ in range(2):
+        got = one.encode(raw, off)
+        assert [one.decode(x).decode() for x in got] == texts
+    monkeypatch.undo()
+    assert got == bpe.Encoder(path).encode(raw, off)
