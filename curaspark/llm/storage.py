@@ -1,22 +1,26 @@
 """Where intermediate tables go, so that a lost executor never costs more than the stage it ran.
 
-The folder is the one that the cluster names in spark.checkpoint.dir; only a session without that
-setting (a test, a notebook) gets a folder under /tmp/checkpoints.
+The folder is the one that the cluster names in spark.checkpoint.dir; only a local session without that setting (a test, a
+notebook) gets a folder under /tmp/checkpoints.
 """
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's own setting: shuffle files go when the query that made them has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; also makes it the folder of checkpoint()."""
+    """The shared folder; also makes it the folder of checkpoint(). A cluster without one is an error: executors share no /tmp."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "/tmp/checkpoints/curaspark"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
@@ -27,22 +31,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/curaspark-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def cleaned_up(spark: SparkSession):
+    """Queries run inside leave no shuffle files behind: for those whose results are written."""
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+
+
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and the optimiser sees true sizes."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    path = path or new_path(spark, name)
+    with cleaned_up(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of jobs whose results are already written."""
-    for _ in range(2):  # the first lets go of the driver's handles, the second of what they held
-        gc.collect()
-        time.sleep(0.3)
-        spark.sparkContext._jvm.System.gc()
-
-
 def drop(spark: SparkSession, path: str) -> None:
     """Deletes a table of this module that nothing reads any more."""
     to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -4,13 +4,14 @@ A window is WINDOW consecutive words. Its anchor is the least hash of its GRAM-w
 neighbouring windows mostly share theirs, so one row (anchor, document, position, window hashes) stands for several
 windows and two windows can only be equal under the same anchor. Documents come in batches of ascending id:
 
-* map: rows of a batch; windows that a smaller id of the same chunk has already are decided at once and not sent, so a
-  passage that very many documents share costs each chunk one row, not one per document;
+* map: rows of a batch; windows that a smaller id of the same chunk has already, or that the task remembers of a smaller
+  id, are decided at once and not sent, so a passage that very many documents share costs each task a row or so, not one
+  per document;
 * merge: the batch's rows, sorted by anchor, are merge-joined with the index, sorted immutable runs bucketed by anchor
-  (no shuffle of the history), and verified on 40 further bits of the window's own hash within the 64-bit anchor;
-  within an anchor documents come in ascending order and are streamed, however many they are;
+  (no shuffle of the history), and verified within the 64-bit anchor on 40 bits of a second, independent hash of all the
+  window's words; within an anchor documents come in ascending order and are streamed, however many they are;
 * append: windows that were new become a new sorted run; when MAX_RUNS is passed, runs are compacted into one by
-  merge joins.
+  merge joins and the old runs deleted.
 
 Hits are window positions. Only documents that may have hits (a bounded Bloom filter) shuffle to meet theirs.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,27 +28,31 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curaspark.llm import exact_dedup, textops
-from curaspark.llm.storage import drop, materialize, new_path, release_shuffles
+from curaspark.llm.storage import cleaned_up, drop, materialize, new_path
 
 WINDOW = 13
 GRAM = 4
-MAX_RUNS = 4
+MAX_RUNS = 2
 #: Windows of one row at most.
 ROW_WINDOWS = 64
 WIN_BYTES = 5
 CHUNK = 256 << 10
 MERGE_ROWS = 8_192
+#: Windows that a map task remembers.
+SEEN = 1 << 18
+#: Bytes of text for each bucket of the index.
+BUCKET_BYTES = 32 << 20
 
 _U = np.uint64
 ROW_SPEC = "anchor long, doc long, pos long, n int, wins binary"
 
 
-def windows(h: np.ndarray, rows: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start word, anchor and own hash of every window that lies in one row (rows: offsets into the words)."""
+def windows(h: np.ndarray, other: np.ndarray, rows: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start word, anchor (of h) and own hash (of other) of every window that lies in one row (rows: offsets into the words)."""
     m = len(h) - window + 1
     if m <= 0:
         return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U)
-    own = textops.gram_hashes(h, window)
+    own = textops.gram_hashes(other, window)
     parts = textops.gram_hashes(h, gram)
     anchor = parts[:m].copy()
     for j in range(1, window - gram + 1):
@@ -103,20 +109,24 @@ def map_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """ROW_SPEC rows of (id, tag, text). pos: tag << 32 | start word. A row without wins is a hit that is decided already."""
 
     def run(batches):
+        seen, holder = np.zeros(SEEN, _U), np.full(SEEN, np.iinfo(np.int64).max)  # window seen last in each slot, its document
         for batch in batches:
             raw, off = textops.buffers(batch.column(2))
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, hi in textops.chunks(off, CHUNK):
                 part, edge = raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 starts, stops, rows = textops.words(part, edge)
-                at, anchor, own = windows(textops.word_hashes(part, starts, stops), rows, window, gram)
+                at, anchor, own = windows(textops.word_hashes(part, starts, stops), textops.word_hashes(part, starts, stops, 1), rows, window, gram)
                 if not len(at):
                     continue
                 row = np.searchsorted(rows, at, "right") - 1
                 doc = ids[lo:hi][row]
                 pos = (tags[lo:hi][row] << 32) | (at - rows[row])
                 own >>= _U(64 - 8 * WIN_BYTES)
-                known = first_holders(textops.mix(anchor + own * _U(0x9E3779B97F4A7C15)), doc) < doc
+                key = textops.mix(anchor + own * _U(0x9E3779B97F4A7C15))
+                slot = (key & _U(SEEN - 1)).astype(np.int64)
+                known = (first_holders(key, doc) < doc) | ((seen[slot] == key) & (holder[slot] < doc))
+                seen[slot], holder[slot] = key, doc
                 # steps of ROW_WINDOWS split long runs of one anchor, as repeated lines give
                 step = (at - rows[row]) // ROW_WINDOWS
                 head, n = _runs(~known, row, anchor, step)
@@ -228,16 +238,17 @@ class SubstringIndex:
 
     def _table(self, df: DataFrame, kind: str) -> str:
         name, path = f"curaspark_{kind}_{uuid.uuid4().hex[:12]}", new_path(self.spark, kind)
-        df.write.format("parquet").bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", path).saveAsTable(name)
         self.paths[name] = path
+        with cleaned_up(self.spark):
+            df.write.format("parquet").bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", path).saveAsTable(name)
         return name
 
-    def drop(self) -> None:
-        """Deletes all tables that this index has written, also those of hits: for an index that nothing reads any more."""
-        for name, path in self.paths.items():
+    def drop(self, tables: list[str] | None = None) -> None:
+        """Deletes these runs, or all that this index has written: for runs that nothing reads any more."""
+        for name in list(self.paths) if tables is None else tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            drop(self.spark, path)
-        self.paths, self.runs = {}, []
+            drop(self.spark, self.paths.pop(name))
+        self.runs = [r for r in self.runs if r in self.paths]
 
     def history(self) -> list[DataFrame]:
         return [self.spark.table(t).where("doc is null").select("anchor", "wins") for t in self.runs]
@@ -265,11 +276,13 @@ class SubstringIndex:
 
         merged = rows.select(*columns).mapInArrow(merge, ROW_SPEC)
         table = self._table(merged, "run")
-        hits = self.spark.table(table).where("doc is not null").select("doc", "pos", "n")
+        hits = materialize(self.spark.table(table).where("doc is not null").select("doc", "pos", "n"), "hits")
         if keep:
             self.runs.append(table)
             if len(self.runs) > MAX_RUNS:
                 self.compact()
+        else:
+            self.drop([table])
         return hits
 
     def compact(self) -> None:
@@ -279,7 +292,9 @@ class SubstringIndex:
             first = first.join(run.withColumnRenamed("wins", f"w{i}"), "anchor", "full")
         parts = [F.coalesce(F.col(c), F.lit(b"")) for c in first.columns if c != "anchor"]
         none = [F.lit(None).cast(t).alias(c) for c, t in (("doc", "long"), ("pos", "long"), ("n", "int"))]
-        self.runs = [self._table(first.select("anchor", *none, F.concat(*parts).alias("wins")), "compacted")]
+        old, compacted = self.runs, self._table(first.select("anchor", *none, F.concat(*parts).alias("wins")), "compacted")
+        self.runs = [compacted, *old]
+        self.drop(old)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = 4, keep_columns: bool = False, index: SubstringIndex | None = None) -> DataFrame:
@@ -288,7 +303,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes if a window that covers it also starts in a document with a smaller id, or in the index given (whose
     documents count as earlier; the batches then join it). Windows are judged on the input. Null texts have no words;
     texts under `window` words lose nothing. A document of null id neither loses words nor takes any. Rows of equal
-    id never count as earlier than each other; identical rows are treated alike. Batches are ranges of ids and do
+    id never count as earlier than each other; identical rows are treated alike. Ids are integers. Batches are ranges of ids and do
     not change the result. With keep_columns the input's columns come first, those of the same name replaced.
     """
     spark = docs.sparkSession
@@ -298,24 +313,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.shiftrightunsigned(F.xxhash64(text), 33).alias("tag"), text.alias("text"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(carried)])
     known = base.where("id is not null").select("id", "tag", "text")
     lasting = index is not None
-    index = index or SubstringIndex(spark, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))), window)
-    bounds = [None, None]
-    if batches > 1:
-        cuts = known.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
-        bounds = [None, *sorted({int(c) for c in cuts}), None]
-    hits = None
-    for i, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
-        batch = known
-        if lo is not None:
-            batch = batch.where(F.col("id") >= lo)
-        if hi is not None:
-            batch = batch.where(F.col("id") < hi)
-        found = index.add(batch, keep=lasting or i < len(bounds) - 2)
-        hits = found if hits is None else hits.unionByName(found)
-        release_shuffles(spark)
-    hits = materialize(hits, "hits")
-    if not lasting:
-        index.drop()
+    cuts = [i / batches for i in range(1, batches)] or [0.5]
+    cuts, size = known.agg(F.percentile_approx("id", cuts, 10_000), F.sum(F.octet_length("text"))).first()
+    index = index or SubstringIndex(spark, max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), (size or 0) // BUCKET_BYTES), window)
+    bounds = [None, *(sorted({int(c) for c in cuts or []}) if batches > 1 else []), None]
+    found = []
+    try:
+        for i, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            batch = known
+            if lo is not None:
+                batch = batch.where(F.col("id") >= lo)
+            if hi is not None:
+                batch = batch.where(F.col("id") < hi)
+            found.append(index.add(batch, keep=lasting or i < len(bounds) - 2))
+    finally:
+        if not lasting:
+            index.drop()
+    hits = reduce(DataFrame.unionByName, found)
     spans = hits.select(F.col("doc").alias("h_id"), F.shiftrightunsigned("pos", 32).alias("h_tag"), F.col("pos").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"), "n")
     spans = spans.groupBy("h_id", "h_tag").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
     keys = hits.select(F.xxhash64("doc", F.shiftrightunsigned("pos", 32)).alias("k")).distinct()
