@@ -1,124 +1,132 @@
-"""LM scoring with a hierarchical Pitman-Yor model, seated by Gibbs sampling.
+"""LM scoring with a hierarchical Pitman-Yor model: restaurants of the previous word, which share the word restaurant as
+their parent, over a spelling model.
 
-Tokens are lower-cased words and one end per text. The word restaurant's customers are all training tokens; its base measure
-spells the word (the end is the empty word) byte by byte in restaurants of contexts of up to ORDER - 1 bytes, and a
-context's parent is the context without its oldest byte, down to the uniform distribution over bytes. A table of the word
-restaurant is one customer of the spelling restaurants, a table of a context one customer of its parent.
+Tokens are lower-cased words and one end per text; the end is also what comes before a text's first word. A table of a
+context's restaurant is one customer of the word restaurant; its base measure spells the word byte by byte. Seatings are
+sampled by Gibbs moves (pitman_yor.py), discounts and strengths of both levels by griddy Gibbs steps, and the predictive
+probabilities of the last SAMPLES sweeps are averaged.
 
-A sweep seats all customers of every dish anew by the Chinese restaurant process, given the tables elsewhere: word by word
-in a distributed pass over the counted vocabulary, then context by context on the driver, whose state is the table of
-byte n-grams (at most MAX_KEYS rows; a longer order is used only if it fits). Customers of a dish are seated one by
-one to EXACT and then in blocks of an eighth of those seated. Random numbers are hashes of dish and sweep, so that a repeated
-task draws the same. Probabilities are averaged over the last SAMPLES sweeps.
+Spark deals all of it out. A word's name is a 64-bit hash that is checked to tell all words of the corpus apart.
 
-Counts cover the whole training part. Scores of frequent words (HOT, a bounded table) are summed where the text is; the
-other words of a text meet the vocabulary in one join on the word.
+* Pairs (previous word, word) of each chunk of texts, counted, go to buckets of about BUCKET_TOKENS tokens by a hash of
+  the previous word; of a frequent previous word also by a hash of the word, so that no restaurant is one task's.
+* A sweep visits the buckets: each seats its restaurants given the parent's probabilities, and sends its tables of
+  each word to the word's group. The groups seat their words in the word restaurant and answer.
+* Texts are sent to the buckets as pairs too, scored there, and summed for each chunk of texts.
+
+Rows between these steps are packed arrays, one row for each chunk and bucket. The driver sees sums only: the
+evidence for each point of the parameters' grid, and two totals for each frequent previous word (HOT at most).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curaspark.llm import textops
+from curaspark.llm import pitman_yor, textops
 from curaspark.llm.bpe import gather
 from curaspark.llm.langid import held_out
-from curaspark.llm.storage import materialize
-
-ORDER = 5
-MAX_KEYS = 1 << 21
-SWEEPS, SAMPLES = 4, 2
-EXACT = 64
-HOT = 200_000
-STRENGTH = 1.0
+from curaspark.llm.pitman_yor import Seating
+from curaspark.llm.storage import drop, materialize, new_path
+
+SWEEPS, SAMPLES, MOVES = 4, 2, 2
 FOLD = 1
-COUNT_BYTES = 4 << 20
+#: Bytes of text that are counted or sent at once, and tokens of a bucket.
+CHUNK_BYTES = 8 << 20
+BUCKET_TOKENS = 2_000_000
+#: Previous words of more than one in HOT tokens are frequent: there are fewer than HOT of them.
+HOT = 1 << 16
+#: Bytes that the spelling model looks at: its table has at most 256 ** SPELLING rows.
+SPELLING, SPELLING_DISCOUNT = 3, 0.75
 END_OF_WORD = 0x20
 
+_U = np.uint64
+PAIRS, MODEL, ANSWER, TEXTS, IDS, SCORES, WORDS, TABLES, EVIDENCE, TOTALS = range(10)
+CELLS = [f"c{i}" for i in range(8)]
+SPEC = "place long, kind int, key long, sums array<double>, " + ", ".join(f"{c} binary" for c in CELLS)
+SCHEMA = pa.schema([("place", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("sums", pa.list_(pa.float64())), *((c, pa.binary()) for c in CELLS)])
 
-def uniform(dish: np.ndarray, step: int, sweep: int) -> np.ndarray:
-    x = textops.mix(dish ^ np.uint64((step * 0x9E3779B97F4A7C15 + sweep * 0xD1B54A32D192ED03 + 1) % 2**64))
-    return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
+def cell(x: np.ndarray) -> bytes:
+    """An array as bytes, integers in the fewest that hold them."""
+    if x.dtype.kind in "iu":
+        most = int(x.max()) if len(x) else 0
+        x = x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+    return x.dtype.str[1:].encode() + x.tobytes()
 
-def seat(customers: np.ndarray, weight: np.ndarray, discount: float, dish: np.ndarray, sweep: int) -> np.ndarray:
-    """Tables of each dish after its customers sat down: a new one with chance weight / (weight + seated - discount * tables).
 
-    weight: (strength + discount * tables of the restaurant) times the parent's probability of the dish. Past EXACT,
-    a block's new tables are a normal approximation of their binomial number, never more than its customers.
-    """
-    tables = np.minimum(customers, 1).astype(np.float64)
-    seated, step = 1, 1
-    live = np.flatnonzero(customers > 1)
-    while len(live):
-        block = 1 if seated < EXACT else seated // 8
-        size = np.minimum(block, customers[live] - seated).astype(np.float64)
-        t, a = tables[live], weight[live]
-        p = a / (a + seated - discount * t)
-        if block == 1:
-            new = (uniform(dish[live], step, sweep) < p).astype(np.float64)
-        else:
-            u = np.maximum(uniform(dish[live], 2 * step, sweep), 1e-300)
-            v = uniform(dish[live], 2 * step + 1, sweep)
-            normal = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
-            new = np.clip(np.rint(size * p + normal * np.sqrt(size * p * (1 - p))), 0, size)
-        tables[live] = t + new
-        seated += block
-        step += 1
-        live = live[customers[live] > seated]
-    return tables
+def opened(b: bytes) -> np.ndarray:
+    x = np.frombuffer(b, np.dtype(b[:2].decode()), offset=2)
+    return x.astype(np.int64) if x.dtype.kind == "u" and x.dtype.itemsize < 8 else x
 
 
-def discount_of(customers: np.ndarray) -> float:
-    """n1 / (n1 + 2 n2), from the dishes with one and two customers, within bounds."""
-    one, two = float((customers == 1).sum()), float((customers == 2).sum())
-    return float(np.clip(one / (one + 2 * two), 0.1, 0.9)) if one + two else 0.5
+def row(place: int, kind: int, key: int, *arrays: np.ndarray, sums=None) -> dict:
+    return {"place": place, "kind": kind, "key": key, "sums": sums} | {c: cell(x) if isinstance(x, np.ndarray) else x for c, x in zip(CELLS, arrays, strict=False)}
 
 
-@dataclass
-class Level:
-    """Restaurants of one context length: sorted dishes (context << 8 | byte), their masses, and contexts' back-off weights."""
+def batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, SCHEMA)
+
+
+def slices(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.Array:
+    lengths = stops - starts
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(gather(raw, starts, lengths).tobytes())])
 
-    keys: np.ndarray
-    mass: np.ndarray
-    contexts: np.ndarray
-    backoff: np.ndarray
 
-    def mixed(self, key: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        own = np.where(self.keys[at] == key, self.mass[at], 0.0)
-        ctx = key >> 8
-        at = np.minimum(np.searchsorted(self.contexts, ctx), len(self.contexts) - 1)
-        return own + np.where(self.contexts[at] == ctx, self.backoff[at], 1.0) * parent
+def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return textops.buffers(words.cast(pa.large_binary()).view(pa.large_string()))
 
 
-@dataclass
-class Spelling:
-    """A seating of the spelling restaurants, shortest contexts first, and of the word restaurant above them."""
+def names(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: int) -> np.ndarray:
+    return textops.word_hashes(raw, starts, stops, 1000 + seed)
 
-    levels: list[Level]
-    strength: float = 0.0
-    discount: float = 0.5
-    tables: float = 0.0  # of the word restaurant
-    customers: float = 0.0
 
-    def words(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Probability of each spelling; data: the words' bytes, joined."""
-        key, first = byte_keys(data, lengths, max(1, len(self.levels)))
-        p = np.full(len(key), 1 / 256)
-        for i, level in enumerate(self.levels):
-            p = level.mixed(key & ((1 << (8 * (i + 1))) - 1), p)
-        return np.exp(np.add.reduceat(np.log(p), first)) if len(first) else np.zeros(0)
+def no_word(seed: int) -> np.uint64:
+    """The name of the end."""
+    return names(np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64), seed)[0]
 
-    def new_table(self) -> float:
-        return (self.strength + self.discount * self.tables) / max(1e-300, self.strength + self.customers)
 
-    def predict(self, count: np.ndarray, tables: np.ndarray, spelled: np.ndarray) -> np.ndarray:
-        return np.maximum(count - self.discount * tables, 0) / max(1e-300, self.strength + self.customers) + self.new_table() * spelled
+# ---- words and their spelling
+
+
+def count_words(docs: DataFrame, text_col: str, train: str | None = None) -> DataFrame:
+    """(word binary, c, a): words of all texts, lower-cased, and the empty word for each text's end; a: their number, c: in rows
+    where the column train is true. Words are told apart by their bytes."""
+
+    def run(batches):
+        for part in batches:
+            flag = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([int(flag.sum())]), pa.array([len(flag)])], names=["word", "c", "a"])
+            raw, off = textops.buffers(part.column(0))
+            for lo, hi in textops.chunks(off, CHUNK_BYTES // 2):
+                low = textops.LOWER[raw[off[lo] : off[hi]]]
+                starts, stops, rows = textops.words(low, off[lo : hi + 1] - off[lo])
+                if not len(starts):
+                    continue
+                # equal hashes of a chunk are one row only if lengths and bytes agree, block by block
+                h = textops.word_hashes(low, starts, stops)
+                order = np.argsort(h, kind="stable")
+                new = np.ones(len(h), bool)
+                a, b = order[:-1], order[1:]
+                blocks = textops.word_blocks(low, starts, stops, 2)
+                size = stops - starts
+                same = (h[a] == h[b]) & (size[a] == size[b]) & (blocks[:, a] == blocks[:, b]).all(axis=0)
+                for i in np.flatnonzero(same & (size[a] > 16)).tolist():
+                    same[i] = (low[starts[a[i]] : stops[a[i]]] == low[starts[b[i]] : stops[b[i]]]).all()
+                new[1:] = ~same
+                trained = flag[lo:hi][np.searchsorted(rows, order, "right") - 1].astype(np.int64)
+                at = np.flatnonzero(new)
+                n = np.diff(np.append(at, len(h)))
+                yield pa.RecordBatch.from_arrays([slices(low, starts[order[at]], stops[order[at]]), pa.array(np.add.reduceat(trained, at)), pa.array(n)], names=["word", "c", "a"])
+
+    flag = F.coalesce(F.col(train), F.lit(False)) if train else F.lit(True)
+    return docs.select(F.col(text_col).alias("text"), flag.alias("t")).mapInArrow(run, "word binary, c long, a long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
 
 
 def byte_keys(data: np.ndarray, lengths: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,121 +146,451 @@ def byte_keys(data: np.ndarray, lengths: np.ndarray, order: int) -> tuple[np.nda
     return key, first
 
 
-def seat_spelling(keys: np.ndarray, customers: np.ndarray, order: int, previous: Spelling, sweep: int) -> list[Level]:
-    """Seats the spelling restaurants from the longest contexts down, given the previous sweep's parents."""
-    out: list[Level] = []
-    for n in range(order, 0, -1):
-        parent = np.full(len(keys), 1 / 256)
-        for i, level in enumerate(previous.levels[: n - 1]):
-            parent = level.mixed(keys & ((1 << (8 * (i + 1))) - 1), parent)
+@dataclass
+class Spelling:
+    """For each context length, shortest first: sorted keys (context << 8 | byte) and their masses, contexts and their shares of
+    the parent. Absolute discounting; the shorter contexts count each longer one once."""
+
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
+
+    def mixed(self, key: np.ndarray) -> np.ndarray:
+        p = np.full(len(key), 1 / 256)
+        for i, (keys, mass, contexts, share) in enumerate(self.levels):
+            k = key & ((1 << (8 * (i + 1))) - 1)
+            at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+            own = np.where(keys[at] == k, mass[at], 0.0)
+            at = np.minimum(np.searchsorted(contexts, k >> 8), len(contexts) - 1)
+            p = own + np.where(contexts[at] == k >> 8, share[at], 1.0) * p
+        return p
+
+    def words(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each spelling; data: the words' bytes, joined."""
+        key, first = byte_keys(data, lengths, SPELLING)
+        return np.add.reduceat(np.log10(self.mixed(key)), first) if len(first) else np.zeros(0)
+
+
+def spelling(vocabulary: DataFrame) -> Spelling:
+    """From the distinct training words."""
+
+    def run(batches):
+        for part in batches:
+            raw, off = _bytes(part.column(0))
+            keys, n = np.unique(byte_keys(raw, np.diff(off), SPELLING)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+
+    got = vocabulary.where("c > 0").select("word").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    keys, n = got.column("key").to_numpy(), got.column("n").to_numpy().astype(np.float64)
+    order = np.argsort(keys)
+    keys, n, out = keys[order], n[order], []
+    for length in range(SPELLING if len(keys) else 0, 0, -1):
         contexts, which = np.unique(keys >> 8, return_inverse=True)
-        d = discount_of(customers)
-        # until they are seated, a context's tables count as one for each dish
-        total = np.bincount(which, customers)
-        held = np.bincount(which).astype(np.float64)
-        weight = (STRENGTH + d * held[which]) * parent
-        tables = seat(customers, weight, d, keys.astype(np.uint64) ^ np.uint64(n << 56), sweep)
-        held = np.bincount(which, tables)
-        level = Level(keys, np.maximum(customers - d * tables, 0) / (STRENGTH + total[which]), contexts, (STRENGTH + d * held) / (STRENGTH + total))
-        out.append(level)
-        if n > 1:
-            keys, up = np.unique(keys & ((1 << (8 * (n - 1))) - 1), return_inverse=True)
-            customers = np.bincount(up, tables).astype(np.int64)
-    return out[::-1]
-
-
-def count_words(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word binary, c): all words of the texts, lower-cased, and the empty word once for each text's end."""
+        total, kinds = np.bincount(which, n), np.bincount(which)
+        out.append((keys, (n - SPELLING_DISCOUNT) / total[which], contexts, SPELLING_DISCOUNT * kinds / total))
+        keys, n = np.unique(keys & ((1 << (8 * (length - 1))) - 1), return_counts=True)
+        n = n.astype(np.float64)
+    return Spelling(out[::-1])
+
+
+# ---- pairs
+
+
+@dataclass
+class Deal:
+    """How pairs are dealt out: buckets, and the names of frequent previous words with the parts of each."""
+
+    seed: int
+    buckets: int
+    hot: np.ndarray
+    parts: np.ndarray
+
+    def bucket(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        part = np.zeros(len(before), _U)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, before), len(self.hot) - 1)
+            split = np.flatnonzero(self.hot[at] == before)
+            part[split] = textops.mix(word[split]) % self.parts[at[split]]
+        return (textops.mix(before ^ (part * _U(0x9E3779B97F4A7C15))) % _U(self.buckets)).astype(np.int64)
+
+    def group(self, name: np.ndarray) -> np.ndarray:
+        """Words' groups: ranges of names."""
+        return (name // _U(-(-(2**64) // self.buckets))).astype(np.int64) if self.buckets > 1 else np.zeros(len(name), np.int64)
+
+    def is_hot(self, name: np.ndarray) -> np.ndarray:
+        return np.isin(name, self.hot)
+
+
+def tokens(raw: np.ndarray, off: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of all tokens of the rows, and n+1 offsets into them."""
+    low = textops.LOWER[raw]
+    starts, stops, rows = textops.words(low, off)
+    out = np.full(len(starts) + len(off) - 1, no_word(seed), _U)
+    n = np.diff(rows)
+    out[np.arange(len(starts)) + np.repeat(np.arange(len(n)), n)] = names(low, starts, stops, seed)
+    return out, rows + np.arange(len(rows))
+
+
+def packed_pairs(deal: Deal, kind: int, key: int, word: np.ndarray, more: np.ndarray | None, times: np.ndarray) -> Iterator[dict]:
+    """Rows of a chunk's distinct (previous word, word[, more]) and their times, one for each bucket: previous words, their
+    numbers of pairs, words, each pair's word, [more,] times."""
+    every, which = np.unique(word, return_inverse=True)
+    before = np.empty_like(which)
+    before[1:] = which[:-1]
+    before[:1] = np.searchsorted(every, no_word(deal.seed))
+    size = len(every)
+    pair = before.astype(np.int64) * size + which
+    if more is not None:
+        span = int(more.max()) + 1
+        pair = pair * span + more
+    order = np.argsort(pair, kind="stable")
+    pair = pair[order]
+    head = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    times = np.add.reduceat(times[order], head)
+    pair = pair[head]
+    extra = []
+    if more is not None:
+        extra, pair = [pair % span], pair // span
+    a, b = pair // size, pair % size
+    bucket = deal.bucket(every[a], every[b])
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    for lo, hi in zip(edges, edges[1:]):
+        at = order[lo:hi]
+        run = np.flatnonzero(np.concatenate([[True], a[at][1:] != a[at][:-1]]))
+        own, index = np.unique(b[at], return_inverse=True)
+        yield row(int(bucket[lo]), kind, key, every[a[at][run]], np.diff(np.append(run, len(at))), every[own], index, *[x[at] for x in extra], times[at])
+
+
+def pairs(docs: DataFrame, deal: Deal, kind: int) -> DataFrame:
+    """PAIRS rows of (id, text, trained): each bucket's pairs of a chunk, with how often in trained rows (0: in others only); or TEXTS rows, with
+    the row in the chunk too, and one IDS row for each chunk."""
 
     def run(batches):
-        for batch in batches:
-            raw, off = textops.buffers(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([len(off) - 1])], names=["word", "n"])
-            for lo, hi in textops.chunks(off, COUNT_BYTES):
-                part = textops.LOWER[raw[off[lo] : off[hi]]]
-                starts, stops, _ = textops.words(part, off[lo : hi + 1] - off[lo])
-                if not len(starts):
-                    continue
-                _, at, n = np.unique(textops.word_hashes(part, starts, stops), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([slices(part, starts[at], stops[at]), pa.array(n)], names=["word", "n"])
+        for part in batches:
+            raw, off = textops.buffers(part.column(1))
+            for lo, hi in textops.chunks(off, CHUNK_BYTES):
+                word, rows = tokens(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], deal.seed)
+                n = np.diff(rows)
+                number = np.repeat(np.arange(hi - lo), n)
+                if kind == PAIRS:
+                    trained = part.column(2).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.int64)
+                    yield batch(list(packed_pairs(deal, kind, 0, word, None, trained[number])))
+                else:
+                    key = part.column(3)[lo].as_py()
+                    sink = pa.BufferOutputStream()
+                    ids = pa.RecordBatch.from_arrays([part.column(0).slice(lo, hi - lo)], names=["id"])
+                    with pa.ipc.new_stream(sink, ids.schema) as writer:
+                        writer.write_batch(ids)
+                    rest = packed_pairs(deal, kind, key, word, number, np.ones(len(word), np.int64))
+                    yield batch([row(key % deal.buckets, IDS, key, sink.getvalue().to_pybytes(), n), *rest])
 
-    return docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return docs.mapInArrow(run, SPEC)
 
 
-def slices(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.Array:
-    lengths = stops - starts
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(gather(raw, starts, lengths).tobytes())])
+def unpacked_pairs(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Previous word and word of each pair of a row."""
+    return np.repeat(opened(r["c0"]).view(_U), opened(r["c1"])), opened(r["c2"]).view(_U)[opened(r["c3"])]
 
 
-def _dish(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, lengths and a 64-bit name of each word."""
-    raw, off = textops.buffers(words.cast(pa.large_binary()).view(pa.large_string()))
-    return raw, np.diff(off), textops.word_hashes(raw, off[:-1], off[1:])
+# ---- buckets and groups
 
 
 @dataclass
-class Model:
-    """samples: for each kept sweep, the state that its words were seated under and the state that it left."""
+class Level:
+    """What the driver knows of a level after a sweep: its parameters, and sums of the word restaurant or of frequent contexts."""
+
+    strength: float = 1.0
+    discount: float = 0.5
+    customers: float = 0.0
+    tables: float = 0.0
+    hot_customers: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    hot_tables: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+
+class Bucket:
+    """The restaurants of a bucket: sorted contexts and words, the pairs sorted by (context, word), and their seating."""
+
+    def __init__(self, rows: list[dict]):
+        old = [r for r in rows if r["kind"] == MODEL]
+        if old:
+            r = old[0]
+            self.contexts, runs, self.words, self.word = opened(r["c0"]).view(_U), opened(r["c1"]), opened(r["c2"]).view(_U), opened(r["c3"])
+            self.context = np.repeat(np.arange(len(runs)), runs)
+            self.seating = Seating(opened(r["c4"]), opened(r["c5"]), opened(r["c6"]))
+            self.before = opened(r["c7"])  # tables of the sweep before
+        else:
+            found = [(*unpacked_pairs(r), opened(r["c4"])) for r in sorted(rows, key=lambda r: (r["c0"], r["c2"])) if r["kind"] == PAIRS]
+            a, b, n = (np.concatenate([f[i] for f in found]) for i in range(3))
+            self.contexts, a = np.unique(a, return_inverse=True)
+            self.words, b = np.unique(b, return_inverse=True)
+            pair, which = np.unique(a * len(self.words) + b, return_inverse=True)
+            self.context, self.word = pair // len(self.words), pair % len(self.words)
+            self.seating = pitman_yor.at_one_table(np.bincount(which, n).astype(np.int64))
+            self.before = self.seating.tables
+
+    def totals(self, x: np.ndarray, deal: Deal, hot: np.ndarray) -> np.ndarray:
+        """Sums of x over each context; of a frequent one, that of all buckets."""
+        out = np.bincount(self.context, x, len(self.contexts))
+        if len(hot):
+            at = np.minimum(np.searchsorted(deal.hot, self.contexts), len(deal.hot) - 1)
+            out = np.where(deal.hot[at] == self.contexts, hot[at], out)
+        return out
+
+    def seat(self, rng, deal: Deal, level: Level, parent: np.ndarray) -> None:
+        self.before = self.seating.tables
+        for _ in range(MOVES):
+            held = self.totals(self.seating.tables, deal, level.hot_tables)
+            self.seating = pitman_yor.move(rng, self.seating, held[self.context], parent[self.word], level.strength, level.discount)
+
+    def model(self, place: int) -> dict:
+        runs = np.bincount(self.context, minlength=len(self.contexts))
+        return row(place, MODEL, 0, self.contexts, runs, self.words, self.word, self.seating.customers, self.seating.tables, self.seating.openers, self.before)
+
+    def sent(self, place: int, deal: Deal) -> Iterator[dict]:
+        """The tables of each word, to its group."""
+        n = np.bincount(self.word, self.seating.tables, len(self.words)).astype(np.int64)
+        group = deal.group(self.words)
+        edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+        for lo, hi in zip(edges, edges[1:]):
+            yield row(int(group[lo]), TABLES, place, self.words[lo:hi], n[lo:hi])
+
+    def evidence(self, place: int, deal: Deal) -> Iterator[dict]:
+        hot = deal.is_hot(self.contexts)
+        c, t = np.bincount(self.context, self.seating.customers, len(self.contexts)), np.bincount(self.context, self.seating.tables, len(self.contexts))
+        yield row(place, EVIDENCE, 0, sums=np.concatenate([pitman_yor.dish_evidence(self.seating), pitman_yor.restaurant_evidence(c[~hot], t[~hot])]).tolist())
+        for k in np.flatnonzero(hot).tolist():
+            yield row(place, TOTALS, int(self.contexts[k].view(np.int64)), sums=[float(c[k]), float(t[k])])
+
+
+class Answers:
+    """What a bucket's words have from their groups: c, log10 of the base's probability, and for each sample the word restaurant's
+    probability and its share of the base."""
+
+    def __init__(self, rows: list[dict], words: np.ndarray, tops: dict[int, Level]):
+        self.c, self.base = np.zeros(len(words)), np.zeros(len(words))
+        self.parent = {s: np.zeros(len(words)) for s in tops}
+        self.share = {s: (top.strength + top.discount * top.tables) / (top.strength + top.customers) for s, top in tops.items()}
+        for r in rows:
+            if r["kind"] == ANSWER and r["key"] in tops:
+                at, top = np.searchsorted(words, opened(r["c0"]).view(_U)), tops[r["key"]]
+                base, own = opened(r["c2"]).astype(np.float64), opened(r["c1"]).astype(np.float64)
+                self.c[at], self.base[at] = opened(r["c3"]), base
+                self.parent[r["key"]][at] = own / (top.strength + top.customers) + self.share[r["key"]] * 10**base
+
+
+def visit(deal: Deal, sweep: int, level: Level, tops: dict[int, Level]):
+    """A bucket's part of a sweep; the first makes its restaurants, with one table a dish."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        place = rows[0]["place"]
+        mine = Bucket(rows)
+        if tops:
+            (sample,) = tops
+            mine.seat(np.random.default_rng([sweep, place, 1]), deal, level, Answers(rows, mine.words, tops).parent[sample])
+        return pa.Table.from_batches([batch([mine.model(place), *mine.sent(place, deal), *mine.evidence(place, deal)])])
+
+    return run
+
+
+def group_visit(sweep: int, level: Level):
+    """A group's part of a sweep: seats its words in the word restaurant and answers each bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted((r for r in table.to_pylist() if r["kind"] in (WORDS, TABLES)), key=lambda r: (r["kind"], r["key"], r["c0"]))
+        place, rng = table.column("place")[0].as_py(), np.random.default_rng([sweep, table.column("place")[0].as_py(), 2])
+        own = [r for r in rows if r["kind"] == WORDS]
+        word = np.concatenate([opened(r["c0"]).view(_U) for r in own])
+        order = np.argsort(word)
+        word = word[order]
+        c, base = np.concatenate([opened(r["c1"]) for r in own])[order], np.concatenate([opened(r["c2"]) for r in own])[order]
+        if own[0]["c3"] is None:
+            seating = pitman_yor.at_one_table(np.zeros(len(word), np.int64))
+        else:  # one sorted row
+            seating = Seating(*(opened(own[0][x]) for x in ("c3", "c4", "c5")))
+        sent = [(r["key"], np.searchsorted(word, opened(r["c0"]).view(_U)), opened(r["c1"])) for r in rows if r["kind"] == TABLES]
+        customers = np.zeros(len(word), np.int64)
+        for _, at, n in sent:
+            customers[at] += n
+        held, p = np.full(len(word), level.tables), 10 ** base.astype(np.float64)
+        seating = pitman_yor.with_customers(rng, seating, customers, held, p, level.strength, level.discount)
+        for _ in range(MOVES):
+            seating = pitman_yor.move(rng, seating, held, p, level.strength, level.discount)
+        mass = np.maximum(customers - level.discount * seating.tables, 0)
+        out = [row(place, WORDS, 0, word, c, base, seating.customers, seating.tables, seating.openers)]
+        out += [row(bucket, ANSWER, sweep, word[at], mass[at].astype(np.float32), base[at], c[at]) for bucket, at, _ in sent]
+        out.append(row(place, EVIDENCE, 0, sums=[*pitman_yor.dish_evidence(seating), float(customers.sum()), float(seating.tables.sum())]))
+        return pa.Table.from_batches([batch(out)])
+
+    return run
+
+
+def scored(deal: Deal, levels: dict[int, Level], tops: dict[int, Level]):
+    """A bucket's scores of the pairs sent to it: for each chunk, rows there, their known tokens, base and model log10 probabilities."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        place = rows[0]["place"]
+        out = [r for r in rows if r["kind"] == IDS]
+        texts = [r for r in rows if r["kind"] == TEXTS]
+        if texts:
+            mine = Bucket(rows)
+            answers = Answers(rows, mine.words, tops)
+            c = mine.seating.customers
+            total = mine.totals(c, deal, next(iter(levels.values())).hot_customers)
+            tables = {s: t for s, t in zip(sorted(levels), (mine.before, mine.seating.tables)[-len(levels) :], strict=True)}
+            chance, rest = np.zeros(len(c)), np.zeros(len(c))
+            for s, level in levels.items():
+                held, top = mine.totals(tables[s], deal, level.hot_tables), answers.parent[s]
+                share = (level.strength + level.discount * held) / (level.strength + total)
+                chance += np.maximum(c - level.discount * tables[s], 0) / (level.strength + total)[mine.context] + share[mine.context] * top[mine.word]
+                rest += share[mine.context] * answers.share[s]
+            # a spelling's own probability may be too small for a number
+            score = np.where(chance > 1e-280, np.log10(np.maximum(chance, 1e-300) / len(levels)), np.log10(rest / len(levels)) + answers.base[mine.word])
+            pair, size = mine.context * len(mine.words) + mine.word, len(mine.words)
+            log_c, known = np.log10(answers.c + 0.5), answers.c > 0
+        for r in texts:
+            before, word = unpacked_pairs(r)
+            a, b = np.searchsorted(mine.contexts, before), np.searchsorted(mine.words, word)
+            at, number, times = np.searchsorted(pair, a * size + b), opened(r["c4"]), opened(r["c5"])
+            own, which = np.unique(number, return_inverse=True)
+            out.append(row(place, SCORES, r["key"], own, np.bincount(which, times * known[b]).astype(np.int64), np.bincount(which, times * log_c[b]), np.bincount(which, times * score[at])))
+        return pa.Table.from_batches([batch(out)])
+
+    return run
+
+
+def summed(kind: pa.DataType):
+    """A chunk's rows: id, n, known, a, b."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["place"]))
+        first = next(r for r in rows if r["kind"] == IDS)
+        ids, n = pa.ipc.open_stream(first["c0"]).read_all().column(0), opened(first["c1"])
+        known, a, b = np.zeros(len(n), np.int64), np.zeros(len(n)), np.zeros(len(n))
+        for r in rows:
+            if r["kind"] == SCORES:
+                at = opened(r["c0"])
+                known[at] += opened(r["c1"])
+                a[at] += opened(r["c2"])
+                b[at] += opened(r["c3"])
+        return pa.table([ids.cast(kind), n, known, a, b], names=["id", "n", "known", "a", "b"])
+
+    return run
+
+
+# ---- the whole
 
-    samples: list[tuple[Spelling, Spelling]]
-    sweeps: list[int]
+
+@dataclass
+class Model:
+    """A fitted model: tables of the buckets (the last two sweeps' seating) and of the answers of the kept sweeps."""
+
+    deal: Deal
+    buckets: DataFrame
+    answers: DataFrame
+    levels: dict[int, Level]
+    tops: dict[int, Level]
+    spelled: Spelling
     n: int
     v: int
-    order: int
 
 
-def seat_words(state: Spelling, count: np.ndarray, spelled: np.ndarray, dish: np.ndarray, sweep: int) -> np.ndarray:
-    return seat(count, np.maximum((state.strength + state.discount * state.tables) * spelled, 1e-300), state.discount, dish, sweep)
+def _distinct_names(vocabulary: DataFrame) -> int:
+    """The first seed under which all words have different names."""
+    for seed in range(16):
+
+        def run(batches, seed=seed):
+            for part in batches:
+                raw, off = _bytes(part.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array(names(raw, off[:-1], off[1:], seed).view(np.int64))], names=["name"])
+
+        if not vocabulary.select("word").mapInArrow(run, "name long").groupBy("name").count().where("count > 1").limit(1).count():
+            return seed
+    raise ValueError("more words than 64-bit names can tell apart")
 
 
-def fit(vocabulary: DataFrame, sweeps: int = SWEEPS, samples: int = SAMPLES) -> Model:
-    """Gibbs sweeps over a counted vocabulary (word, c)."""
+def _deal(vocabulary: DataFrame, seed: int) -> Deal:
     spark = vocabulary.sparkSession
-    row = vocabulary.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    n, v, one, two = (int(x or 0) for x in row)
-    discount = float(np.clip(one / (one + 2 * two), 0.1, 0.9)) if one + two else 0.5
-    state = Spelling([], STRENGTH, discount, float(v), float(n))
-    kept: list[tuple[Spelling, Spelling]] = []
-    order = ORDER
-    for sweep in range(sweeps if n else 0):
-        shared = spark.sparkContext.broadcast(state)
-
-        def run(batches, shared=shared, sweep=sweep, order=order):
-            state = shared.value
-            for batch in batches:
-                raw, lengths, dish = _dish(batch.column(0))
-                tables = seat_words(state, batch.column(1).to_numpy(), state.words(raw, lengths), dish, sweep)
-                key, _ = byte_keys(raw, lengths, order)
-                keys, which = np.unique(key, return_inverse=True)
-                n = np.bincount(which, np.repeat(tables, lengths + 1)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, -1)), pa.array(np.append(n, int(tables.sum())))], names=["key", "n"])
-
-        counted = vocabulary.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        if sweep == 0:  # the longest order whose table of dishes is small enough for the driver and the workers
-            counted = materialize(counted, "ngrams")
-            while order > 1 and counted.count() > MAX_KEYS:
-                order -= 1
-                counted = materialize(counted.groupBy(F.when(F.col("key") < 0, F.col("key")).otherwise(F.col("key").bitwiseAND(F.lit((1 << (8 * order)) - 1))).alias("key")).agg(F.sum("n").alias("n")), "ngrams")
-        got = counted.toArrow()
-        keys, customers = got.column("key").to_numpy(), got.column("n").to_numpy()
-        tables = float(customers[keys < 0].sum())
-        at = np.argsort(keys)
-        at = at[keys[at] >= 0]
-        before, state = state, Spelling(seat_spelling(keys[at], customers[at], order, state, sweep), STRENGTH, discount, tables, float(n))
-        kept.append((before, state))
-    used = list(range(len(kept)))[-samples:]
-    return Model([kept[i] for i in used], used, n, v, order)
-
-
-def predict(model: Model, words: pa.Array, count: np.ndarray) -> np.ndarray:
-    """log10 of the averaged predictive probability of each word."""
-    raw, lengths, dish = _dish(words)
-    total = np.zeros(len(lengths))
-    for (before, state), sweep in zip(model.samples, model.sweeps, strict=True):
-        tables = seat_words(before, count, before.words(raw, lengths), dish, sweep)
-        total += state.predict(count, tables, state.words(raw, lengths))
-    return np.log10(np.maximum(total / max(1, len(model.samples)), 1e-300))
+    total = vocabulary.agg(F.sum("a")).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TOKENS))
+    least = max(total / HOT, total / (4 * buckets))
+    hot = vocabulary.where(F.col("a") > least).select("word", "a").toArrow()
+    if not hot.num_rows:
+        return Deal(seed, buckets, np.zeros(0, _U), np.zeros(0, _U))
+    raw, off = _bytes(hot.column("word").combine_chunks())
+    own = names(raw, off[:-1], off[1:], seed)
+    order = np.argsort(own)
+    parts = np.ceil(hot.column("a").to_numpy() * (4 * buckets / total)).astype(_U)
+    return Deal(seed, buckets, own[order], parts[order])
+
+
+def _words(vocabulary: DataFrame, deal: Deal, spelled: Spelling) -> DataFrame:
+    """WORDS rows: names, c and log10 of the base's probabilities."""
+
+    def run(batches):
+        for part in batches:
+            raw, off = _bytes(part.column(0))
+            own = names(raw, off[:-1], off[1:], deal.seed)
+            p, c = spelled.words(raw, np.diff(off)).astype(np.float32), part.column(1).to_numpy()
+            order = np.argsort(own)
+            group = deal.group(own[order])
+            edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+            yield batch([row(int(group[lo]), WORDS, 0, own[order[lo:hi]], c[order[lo:hi]], p[order[lo:hi]]) for lo, hi in zip(edges, edges[1:])])
+
+    return vocabulary.select("word", "c").mapInArrow(run, SPEC)
+
+
+def _sums(rows: DataFrame) -> np.ndarray:
+    got = rows.where(F.col("kind") == EVIDENCE).select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+    return np.array([r.x for r in sorted(got)])
+
+
+def _totals(rows: DataFrame, deal: Deal) -> tuple[np.ndarray, np.ndarray]:
+    got = rows.where(F.col("kind") == TOTALS).groupBy("key").agg(F.sum(F.col("sums")[0]).alias("c"), F.sum(F.col("sums")[1]).alias("t")).collect()
+    c, t = np.zeros(len(deal.hot)), np.zeros(len(deal.hot))
+    at = np.searchsorted(deal.hot, np.array([r.key for r in got], np.int64).view(_U))
+    c[at], t[at] = [r.c for r in got], [r.t for r in got]
+    return c, t
+
+
+def fit(docs: DataFrame, vocabulary: DataFrame, sweeps: int = SWEEPS, samples: int = SAMPLES) -> Model:
+    """Gibbs sweeps over docs (id, text, trained) and their counted words."""
+    spark = docs.sparkSession
+    n, v = vocabulary.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    deal, spelled = _deal(vocabulary, _distinct_names(vocabulary)), spelling(vocabulary)
+    grouped = lambda df, run: df.groupBy("place").applyInArrow(run, SPEC)
+    paths: list[list[str]] = []
+    rng = np.random.default_rng(len(deal.hot))
+    level, top, levels, tops = Level(), Level(), {}, {}
+    buckets, words, answers = pairs(docs, deal, PAIRS), _words(vocabulary, deal, spelled), []
+    for sweep in range(sweeps):
+        mine = [new_path(spark, "buckets"), new_path(spark, "words")]
+        source = buckets.unionByName(answers[-1]) if answers else buckets
+        made = materialize(grouped(source, visit(deal, sweep, level, {sweep - 1: top} if answers else {})), "buckets", mine[0])
+        sums, grid = _sums(made), len(pitman_yor.DISCOUNTS)
+        hot_c, hot_t = _totals(made, deal)
+        level = Level(*pitman_yor.draw_parameters(rng, sums[:grid], sums[grid:] + pitman_yor.restaurant_evidence(hot_c, hot_t)), hot_customers=hot_c, hot_tables=hot_t)
+        seated = materialize(grouped(words.unionByName(made.where(F.col("kind") == TABLES)), group_visit(sweep, top)), "words", mine[1])
+        sums = _sums(seated)
+        c, t = sums[grid:]
+        drawn = pitman_yor.draw_parameters(rng, sums[:grid], pitman_yor.restaurant_evidence(np.array([c]), np.array([t])))
+        # masses in the answers are those of the parameters that the words were seated under
+        tops[sweep] = Level(top.strength, top.discount, c, t)
+        levels[sweep] = level
+        top = Level(*drawn, c, t)
+        buckets, words = made.where(F.col("kind") == MODEL), seated.where(F.col("kind") == WORDS)
+        answers.append(seated.where(F.col("kind") == ANSWER))
+        paths.append(mine)
+        for old in paths[-2][:1] if sweep else []:
+            drop(spark, old)
+        for old in paths[-samples - 1][1:] if sweep >= samples else []:
+            drop(spark, old)
+    kept = range(max(0, sweeps - samples), sweeps)
+    every = answers[kept[0]]
+    for s in kept[1:]:
+        every = every.unionByName(answers[s])
+    return Model(deal, buckets, every, {s: levels[s] for s in kept}, {s: tops[s] for s in kept}, spelled, int(n), int(v))
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = FOLD) -> DataFrame:
@@ -264,66 +602,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     and score that of uniform bytes. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    vocabulary = materialize(count_words(docs.where(~held_out(id_col, fold)), text_col), "vocabulary")
-    model = fit(vocabulary)
-    if not model.samples:
-        empty = Spelling([], STRENGTH)
-        model = Model([(empty, empty)], [0], 0, 0, 1)
-    shared = spark.sparkContext.broadcast(model)
-
-    def final(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(predict(shared.value, batch.column(0), batch.column(1).to_numpy()))], names=["word", "c", "lp"])
-
-    scored = materialize(vocabulary.mapInArrow(final, "word binary, c long, lp double"), "probabilities")
-    hot = scored.orderBy(F.desc("c"), "word").limit(HOT).toArrow()
-    _, _, names = _dish(hot.column("word").combine_chunks()) if hot.num_rows else (None, None, np.zeros(0, np.uint64))
-    at = np.argsort(names)
-    table = spark.sparkContext.broadcast((names[at], np.log10(hot.column("c").to_numpy() + 0.5)[at], hot.column("lp").to_numpy()[at]))
-
-    def look(batches):
-        names, log_c, log_p = table.value
-        for batch in batches:
-            raw, off = textops.buffers(batch.column(1))
-            ids = batch.column(0).to_numpy()
-            for lo, hi in textops.chunks(off):
-                part = textops.LOWER[raw[off[lo] : off[hi]]]
-                starts, stops, rows = textops.words(part, off[lo : hi + 1] - off[lo])
-                n = np.diff(rows)
-                # ends are words of no bytes, after each row's words
-                h = textops.word_hashes(part, np.append(starts, np.zeros(hi - lo, np.int64)), np.append(stops, np.zeros(hi - lo, np.int64)))
-                owner = np.append(np.repeat(np.arange(hi - lo), n), np.arange(hi - lo))
-                place = np.minimum(np.searchsorted(names, h), max(0, len(names) - 1))
-                found = names[place] == h if len(names) else np.zeros(len(h), bool)
-                sums = [np.bincount(owner[found], w[place[found]] if w is not None else None, hi - lo) for w in (None, log_c, log_p)] if len(names) else [np.zeros(hi - lo)] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), batch.column(2).slice(lo, hi - lo), pa.nulls(hi - lo, pa.binary()), pa.array(n + 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["row", "id", "word", "n", "known", "a", "b"])
-                cold = np.flatnonzero(~found)
-                if len(cold):
-                    _, first, times = np.unique(textops.mix(h[cold] + textops.mix(owner[cold].astype(np.uint64))), return_index=True, return_counts=True)
-                    cold = cold[first]
-                    begin, end = np.append(starts, np.zeros(hi - lo, np.int64))[cold], np.append(stops, np.zeros(hi - lo, np.int64))[cold]
-                    none = pa.nulls(len(cold), pa.float64())
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][owner[cold]]), pa.nulls(len(cold), batch.column(2).type), slices(part, begin, end), pa.array(times), pa.nulls(len(cold), pa.int64()), none, none], names=["row", "id", "word", "n", "known", "a", "b"])
-
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (~held_out(id_col, fold)).alias("trained"), F.monotonically_increasing_id().alias("at"))
+    vocabulary = materialize(count_words(own, "text", "trained"), "vocabulary")
+    if not vocabulary.limit(1).count():
+        return spark.createDataFrame([], f"{id_col} {docs.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    model = fit(own, vocabulary)
+    sent = model.buckets.unionByName(model.answers).unionByName(pairs(own, model.deal, TEXTS))
+    parts = materialize(sent.groupBy("place").applyInArrow(scored(model.deal, model.levels, model.tops), SPEC), "scores")
     kind = docs.schema[id_col].dataType.simpleString()
-    parts = materialize(keyed.mapInArrow(look, f"row long, id {kind}, word binary, n long, known long, a double, b double"), "tokens")
-
-    def rest(batches):
-        for batch in batches:
-            row, times = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            count = batch.column(3).fill_null(0).to_numpy()
-            log_p = batch.column(4).fill_null(0.0).to_numpy().copy()
-            new = np.flatnonzero(count == 0)
-            if len(new):
-                log_p[new] = predict(shared.value, batch.column(1).take(pa.array(new)), np.zeros(len(new), np.int64))
-            rows, which = np.unique(row, return_inverse=True)
-            sums = [np.bincount(which, times * w, len(rows)) for w in (count > 0, np.log10(count + 0.5), log_p)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["row", "known", "a", "b"])
-
-    cold = parts.where("word is not null").select("row", "word", "n").join(scored, "word", "left").select("row", "word", "n", "c", "lp")
-    more = cold.mapInArrow(rest, "row long, known long, a double, b double").select("row", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("long").alias("n"), "known", "a", "b")
-    total = parts.where("word is null").select("row", "id", "n", "known", "a", "b").unionByName(more).groupBy("row").agg(F.max("id").alias("id"), F.max("n").alias("n"), F.sum("known").alias("known"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    total = parts.groupBy("key").applyInArrow(summed(to_arrow_type(docs.schema[id_col].dataType)), f"id {kind}, n long, known long, a double, b double")
     norm = float(np.log10(model.n + 0.5 * (model.v + 1)))
     return total.select(
         F.col("id").alias(id_col), held_out("id", fold).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"),

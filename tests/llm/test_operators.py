@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from curaspark.llm import bpe, components, exact_dedup, langid, lm, lz_fingerprint, packing, pretok, simhash, substring_dedup, textops, token_counts, warc
+from curaspark.llm import bpe, components, exact_dedup, langid, lm, lz_fingerprint, packing, pitman_yor, pretok, simhash, substring_dedup, textops, token_counts, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -209,21 +209,122 @@ def test_lm_scores(docs, rows, empty, odd, spark):
     assert lm.lm_scores(empty).count() == 0 and lm.lm_scores(odd).count() == 7
 
 
-def test_lm_is_a_distribution(docs):
-    vocabulary = lm.count_words(docs, "text").cache()
-    model = lm.fit(vocabulary)
-    v = vocabulary.toPandas()
-    words = pa.array([bytes(w) for w in v.word], pa.binary())
-    seen = (10 ** lm.predict(model, words, v.c.to_numpy())).sum()
-    raw, lengths, _ = lm._dish(words)
-    unseen = np.mean([s.new_table() * (1 - s.words(raw, lengths).sum()) for _, s in model.samples])
-    assert seen + unseen == pytest.approx(1, abs=1e-6)
-    for context in (0x202020, 0x616263):
-        key = (context << 8) | np.arange(256)
-        p = np.full(256, 1 / 256)
-        for i, level in enumerate(model.samples[-1][1].levels):
-            p = level.mixed(key & ((1 << (8 * (i + 1))) - 1), p)
-        assert p.sum() == pytest.approx(1)
+def test_lm_is_a_distribution(spark):
+    """For each previous word, all words and all spellings that are no word have probability one together."""
+    words = ["a", "b", "cc", "dé", "e", "f"]
+    text = lambda seed, n: " ".join(random.Random(seed).choice(words[:4]) for _ in range(n))
+    rows = [(i, text(i, 30), True) for i in range(40)] + [(99, " ".join(f"{u} {w}" for u in words for w in words), False)] + [(100 + i, w, False) for i, w in enumerate(words)]
+    docs = spark.createDataFrame(rows, "id long, text string, trained boolean")
+    vocabulary = lm.count_words(docs, "text", "trained").cache()
+    model = lm.fit(docs, vocabulary)
+    deal, model_rows = model.deal, [r.asDict() for r in model.buckets.unionByName(model.answers).collect()]
+    every = [*words, ""]
+    raw, off = textops.buffers(pa.array(every))
+    name = lm.names(raw, off[:-1], off[1:], deal.seed)
+    spelled = (10 ** model.spelled.words(raw, np.diff(off))).sum()
+    for u in name[:-1]:
+        total = 0.0
+        for w in name:
+            own = [r for r in model_rows if r["place"] == deal.bucket(np.array([u]), np.array([w]))[0]]
+            one, zero = np.ones(1, np.int64), np.zeros(1, np.int64)
+            text_row = lm.row(own[0]["place"], lm.TEXTS, 7, np.array([u]), one, np.array([w]), zero, zero, one)
+            got = lm.scored(deal, model.levels, model.tops)(pa.Table.from_batches([lm.batch([*own, text_row])])).to_pylist()
+            total += 10 ** lm.opened(got[-1]["c3"])[0]
+        held = {s: np.zeros(2) for s in model.levels}  # customers and tables of u's restaurant
+        for place in {r["place"] for r in model_rows}:
+            mine = lm.Bucket([r for r in model_rows if r["place"] == place])
+            at = mine.contexts[mine.context] == u
+            for s, tables in zip(sorted(model.levels), (mine.before, mine.seating.tables)):
+                held[s] += mine.seating.customers[at].sum(), tables[at].sum()
+        rest = np.mean([(v.strength + v.discount * held[s][1]) / (v.strength + held[s][0]) * (t.strength + t.discount * t.tables) / (t.strength + t.customers) for (s, v), t in zip(model.levels.items(), model.tops.values())])
+        assert total + rest * (1 - spelled) == pytest.approx(1, abs=2e-5)
+    key = (0x2020 << 8) | np.arange(256)
+    assert model.spelled.mixed(key).sum() == pytest.approx(1) and model.spelled.mixed((0x6162 << 8) | np.arange(256)).sum() == pytest.approx(1)
+
+
+def test_seating_follows_the_enumerated_posterior():
+    """Two dishes of one restaurant, in many copies: after some moves the tables are distributed as by summing over all seatings."""
+    from collections import Counter
+    from itertools import product
+
+    customers, chance, strength, discount = (5, 3), (0.5, 0.3), 2.0, 0.5
+
+    def paths(c):
+        for bits in product((0, 1), repeat=c - 1):
+            t, w = 1, 1.0
+            for seated, opens in enumerate(bits, 1):
+                w *= 1 if opens else seated - discount * t
+                t += opens
+            yield t, w
+
+    want = Counter()
+    for (t1, w1), (t2, w2) in product(paths(5), paths(3)):
+        w = w1 * w2 * chance[0] ** t1 * chance[1] ** t2
+        for k in range(1, t1 + t2):
+            w *= strength + k * discount
+        want[t1, t2] += w
+    z, copies, rng = sum(want.values()), 20_000, np.random.default_rng(3)
+    one = [pitman_yor.at_one_table(np.full(copies, c)) for c in customers]
+    for step in range(30):
+        i = step % 2
+        held = one[0].tables + one[1].tables
+        one[i] = pitman_yor.move(rng, one[i], held, np.full(copies, chance[i]), strength, discount)
+        assert (np.bincount(one[i].owners(), minlength=copies) == one[i].tables - 1).all()
+    got = Counter(zip(one[0].tables.tolist(), one[1].tables.tolist()))
+    assert max(abs(got[k] / copies - v / z) for k, v in want.items()) < 0.012
+    grown = pitman_yor.with_customers(rng, one[0], np.full(copies, 9), held, np.full(copies, 0.5), strength, discount)
+    shrunk = pitman_yor.with_customers(rng, grown, np.full(copies, 1), held, np.full(copies, 0.5), strength, discount)
+    assert (grown.tables >= one[0].tables).all() and (shrunk.tables == 1).all() and not len(shrunk.openers)
+
+
+def test_grid_evidence_is_the_chance_of_the_seating():
+    """A restaurant of dishes with 4 and 1 customers, tables opened by the 1st and 3rd: against the product of all odds."""
+    s = pitman_yor.Seating(np.array([4, 1]), np.array([2, 1]), np.array([3]))
+    i, j = 4, 2
+    d, strength = pitman_yor.DISCOUNTS[i], pitman_yor.STRENGTHS[j]
+    opened = (strength + d) * (strength + 2 * d)
+    joined = (1 - d) * (3 - 2 * d)
+    sums = np.prod([strength + k for k in range(1, 5)])
+    got = pitman_yor.dish_evidence(s)[i] + pitman_yor.restaurant_evidence(np.array([5]), np.array([3])).reshape(len(pitman_yor.DISCOUNTS), -1)[i, j]
+    assert got == pytest.approx(np.log(opened * joined / sums))
+
+
+def test_lm_knows_word_order_and_beats_the_base(spark):
+    """Texts of pairs that always go together: held-out ones score above the base, shuffled ones below themselves in order."""
+    rng = random.Random(5)
+    pairs = [(f"left{i}", f"right{i}") for i in range(30)]
+    rows, k = [], 0
+    for i in range(400):
+        w = [x for _ in range(20) for x in rng.choice(pairs)]
+        rows.append((i, " ".join(w)))
+        k = i + 1
+    shuffled = [(k + i, " ".join(sorted(t.split()))) for i, t in rows if zlib.crc32(str(k + i).encode()) % 5 == 1]
+    got = {r.doc_id: r for r in lm.lm_scores(spark.createDataFrame(rows + shuffled, "doc_id long, text string")).collect()}
+    held = [got[i] for i, _ in rows if got[i].held_out]
+    mean = lambda rs, f: sum(f(r) for r in rs) / sum(r.n_tokens for r in rs)
+    assert mean(held, lambda r: r.score) > mean(held, lambda r: r.base_score) + 0.4
+    assert mean([got[i] for i, _ in shuffled], lambda r: r.score) < mean(held, lambda r: r.score) - 0.3
+
+
+def test_lm_splits_frequent_contexts_and_counts_colliding_words(spark, monkeypatch):
+    """Many small buckets, a previous word of half of all tokens, and the Thue-Morse pair."""
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 50)
+    pair = thue_morse(1024)
+    rows = [(i, " ".join(f"the {w}" for w in random.Random(i).sample("abcdefghij", 5))) for i in range(60)] + [(i, pair[0]) for i in range(60, 70)] + [(200 + i, pair[1]) for i in range(10)]
+    train = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1}
+    count = {}
+    for i, t in rows:
+        for w in t.split():
+            count[w] = count.get(w, 0) + (i in train)
+    got = {r.doc_id: r for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        assert got[i].n_known == 1 + sum(count[w] > 0 for w in t.split()) and np.isfinite(got[i].score) and got[i].score < 0
+    n = sum(count.values()) + len(train)
+    v = sum(c > 0 for c in count.values()) + 1
+    base = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+    for i, w in ((60, pair[0]), (200, pair[1])):
+        assert got[i].base_score == pytest.approx(base(count[w]) + base(len(train)))
 
 
 def test_exact_dedup_keeps_one_row_of_null_ids(spark):
