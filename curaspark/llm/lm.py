@@ -22,9 +22,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ from curaspark.llm.pitman_yor import Seating
 from curaspark.llm.storage import drop, materialize, new_path
 
 SWEEPS, SAMPLES, MOVES = 4, 2, 2
+#: Parts in which texts are sent to be scored: the disk that the rows take on their way is that of one part.
+PARTS = 3
 FOLD = 1
 #: Bytes of text that are counted or sent at once, and tokens of a bucket.
 CHUNK_BYTES = 8 << 20
@@ -52,17 +56,39 @@ SPEC = "place long, kind int, key long, sums array<double>, " + ", ".join(f"{c}
 SCHEMA = pa.schema([("place", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("sums", pa.list_(pa.float64())), *((c, pa.binary()) for c in CELLS)])
 
 
+_pack, _unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def cell(x: np.ndarray) -> bytes:
-    """An array as bytes, integers in the fewest that hold them."""
+    """An array as compressed bytes, the first bytes of all numbers first; integers in the fewest that hold them."""
     if x.dtype.kind in "iu":
         most = int(x.max()) if len(x) else 0
         x = x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
-    return x.dtype.str[1:].encode() + x.tobytes()
+    width = x.dtype.itemsize
+    data = np.ascontiguousarray(x).view(np.uint8).reshape(-1, width).T.tobytes() if width > 1 else x.tobytes()
+    return x.dtype.str[1:].encode() + _pack.compress(data)
 
 
 def opened(b: bytes) -> np.ndarray:
-    x = np.frombuffer(b, np.dtype(b[:2].decode()), offset=2)
-    return x.astype(np.int64) if x.dtype.kind == "u" and x.dtype.itemsize < 8 else x
+    kind = np.dtype(b[:2].decode())
+    x = np.frombuffer(_unpack.decompress(b[2:]), np.uint8)
+    x = np.ascontiguousarray(x.reshape(kind.itemsize, -1).T).view(kind).ravel()
+    return x.astype(np.int64) if kind.kind == "u" and kind.itemsize < 8 else x
+
+
+def rises(index: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Numbers that rise within each run, as differences; sums() undoes it."""
+    out = index.copy()
+    out[1:] -= index[:-1]
+    first = np.cumsum(runs) - runs
+    out[first] = index[first]
+    return out
+
+
+def sums(steps: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    total = np.cumsum(steps)
+    first = np.cumsum(runs) - runs
+    return total - np.repeat(total[first] - steps[first], runs)
 
 
 def row(place: int, kind: int, key: int, *arrays: np.ndarray, sums=None) -> dict:
@@ -258,7 +284,8 @@ def packed_pairs(deal: Deal, kind: int, key: int, word: np.ndarray, more: np.nda
         at = order[lo:hi]
         run = np.flatnonzero(np.concatenate([[True], a[at][1:] != a[at][:-1]]))
         own, index = np.unique(b[at], return_inverse=True)
-        yield row(int(bucket[lo]), kind, key, every[a[at][run]], np.diff(np.append(run, len(at))), every[own], index, *[x[at] for x in extra], times[at])
+        runs = np.diff(np.append(run, len(at)))
+        yield row(int(bucket[lo]), kind, key, every[a[at][run]], runs, every[own], rises(index, runs), *[x[at] for x in extra], times[at])
 
 
 def pairs(docs: DataFrame, deal: Deal, kind: int) -> DataFrame:
@@ -289,7 +316,8 @@ def pairs(docs: DataFrame, deal: Deal, kind: int) -> DataFrame:
 
 def unpacked_pairs(r: dict) -> tuple[np.ndarray, np.ndarray]:
     """Previous word and word of each pair of a row."""
-    return np.repeat(opened(r["c0"]).view(_U), opened(r["c1"])), opened(r["c2"]).view(_U)[opened(r["c3"])]
+    runs = opened(r["c1"])
+    return np.repeat(opened(r["c0"]).view(_U), runs), opened(r["c2"]).view(_U)[sums(opened(r["c3"]), runs)]
 
 
 # ---- buckets and groups
@@ -314,7 +342,8 @@ class Bucket:
         old = [r for r in rows if r["kind"] == MODEL]
         if old:
             r = old[0]
-            self.contexts, runs, self.words, self.word = opened(r["c0"]).view(_U), opened(r["c1"]), opened(r["c2"]).view(_U), opened(r["c3"])
+            self.contexts, runs, self.words = opened(r["c0"]).view(_U), opened(r["c1"]), opened(r["c2"]).view(_U)
+            self.word = sums(opened(r["c3"]), runs)
             self.context = np.repeat(np.arange(len(runs)), runs)
             self.seating = Seating(opened(r["c4"]), opened(r["c5"]), opened(r["c6"]))
             self.before = opened(r["c7"])  # tables of the sweep before
@@ -344,7 +373,7 @@ class Bucket:
 
     def model(self, place: int) -> dict:
         runs = np.bincount(self.context, minlength=len(self.contexts))
-        return row(place, MODEL, 0, self.contexts, runs, self.words, self.word, self.seating.customers, self.seating.tables, self.seating.openers, self.before)
+        return row(place, MODEL, 0, self.contexts, runs, self.words, rises(self.word, runs), self.seating.customers, self.seating.tables, self.seating.openers, self.before)
 
     def sent(self, place: int, deal: Deal) -> Iterator[dict]:
         """The tables of each word, to its group."""
@@ -366,13 +395,15 @@ class Answers:
     """What a bucket's words have from their groups: c, log10 of the base's probability, and for each sample the word restaurant's
     probability and its share of the base."""
 
-    def __init__(self, rows: list[dict], words: np.ndarray, tops: dict[int, Level]):
+    def __init__(self, rows: list[dict], words: np.ndarray, deal: Deal, tops: dict[int, Level]):
         self.c, self.base = np.zeros(len(words)), np.zeros(len(words))
         self.parent = {s: np.zeros(len(words)) for s in tops}
         self.share = {s: (top.strength + top.discount * top.tables) / (top.strength + top.customers) for s, top in tops.items()}
+        group = deal.group(words)
         for r in rows:
             if r["kind"] == ANSWER and r["key"] in tops:
-                at, top = np.searchsorted(words, opened(r["c0"]).view(_U)), tops[r["key"]]
+                group_of = int(opened(r["c0"])[0])
+                at, top = slice(*np.searchsorted(group, [group_of, group_of + 1])), tops[r["key"]]
                 base, own = opened(r["c2"]).astype(np.float64), opened(r["c1"]).astype(np.float64)
                 self.c[at], self.base[at] = opened(r["c3"]), base
                 self.parent[r["key"]][at] = own / (top.strength + top.customers) + self.share[r["key"]] * 10**base
@@ -387,7 +418,7 @@ def visit(deal: Deal, sweep: int, level: Level, tops: dict[int, Level]):
         mine = Bucket(rows)
         if tops:
             (sample,) = tops
-            mine.seat(np.random.default_rng([sweep, place, 1]), deal, level, Answers(rows, mine.words, tops).parent[sample])
+            mine.seat(np.random.default_rng([sweep, place, 1]), deal, level, Answers(rows, mine.words, deal, tops).parent[sample])
         return pa.Table.from_batches([batch([mine.model(place), *mine.sent(place, deal), *mine.evidence(place, deal)])])
 
     return run
@@ -418,7 +449,7 @@ def group_visit(sweep: int, level: Level):
             seating = pitman_yor.move(rng, seating, held, p, level.strength, level.discount)
         mass = np.maximum(customers - level.discount * seating.tables, 0)
         out = [row(place, WORDS, 0, word, c, base, seating.customers, seating.tables, seating.openers)]
-        out += [row(bucket, ANSWER, sweep, word[at], mass[at].astype(np.float32), base[at], c[at]) for bucket, at, _ in sent]
+        out += [row(bucket, ANSWER, sweep, np.array([place]), mass[at].astype(np.float32), base[at], c[at]) for bucket, at, _ in sent]
         out.append(row(place, EVIDENCE, 0, sums=[*pitman_yor.dish_evidence(seating), float(customers.sum()), float(seating.tables.sum())]))
         return pa.Table.from_batches([batch(out)])
 
@@ -435,7 +466,7 @@ def scored(deal: Deal, levels: dict[int, Level], tops: dict[int, Level]):
         texts = [r for r in rows if r["kind"] == TEXTS]
         if texts:
             mine = Bucket(rows)
-            answers = Answers(rows, mine.words, tops)
+            answers = Answers(rows, mine.words, deal, tops)
             c = mine.seating.customers
             total = mine.totals(c, deal, next(iter(levels.values())).hot_customers)
             tables = {s: t for s, t in zip(sorted(levels), (mine.before, mine.seating.tables)[-len(levels) :], strict=True)}
@@ -607,8 +638,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     if not vocabulary.limit(1).count():
         return spark.createDataFrame([], f"{id_col} {docs.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     model = fit(own, vocabulary)
-    sent = model.buckets.unionByName(model.answers).unionByName(pairs(own, model.deal, TEXTS))
-    parts = materialize(sent.groupBy("place").applyInArrow(scored(model.deal, model.levels, model.tops), SPEC), "scores")
+    known = model.buckets.unionByName(model.answers)
+    parts = []
+    for i in range(PARTS):
+        sent = known.unionByName(pairs(own.where(F.pmod(F.xxhash64("at"), F.lit(PARTS)) == i), model.deal, TEXTS))
+        parts.append(materialize(sent.groupBy("place").applyInArrow(scored(model.deal, model.levels, model.tops), SPEC), "scores"))
+    parts = reduce(DataFrame.unionByName, parts)
     kind = docs.schema[id_col].dataType.simpleString()
     from pyspark.sql.pandas.types import to_arrow_type
 
