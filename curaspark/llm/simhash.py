@@ -262,8 +262,24 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, grams array<long>")
 
 
+#: Bins of a set's sketch, the least set that it is used for, and the share of equal bins under which a pair is no near copy.
+#: Of a pair of similarity 0.8 fewer are equal with a chance of 1e-11.
+BINS, SKETCHED, EQUAL = 64, 256, 0.45
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """One-permutation minimum hashes of a set in BINS bins of one byte; zero: an empty bin."""
+    out = np.zeros(BINS, np.uint8)
+    if len(h):
+        bins = (h >> np.uint64(58)).astype(np.int64)  # rises: h is sorted
+        first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
+        out[bins[first]] = (textops.mix(h[first]) % np.uint64(255)).astype(np.uint8) + 1
+    return out.tobytes()
+
+
 def nodes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, fp, n, s1, s2, prefix): the fingerprint, and of the set of distinct shingles the size, a 128-bit hash and the prefix."""
+    """(id, fp, n, s1, s2, prefix, sketch): the fingerprint, and of the set of distinct shingles the size, a 128-bit hash, the prefix
+    and a sketch."""
 
     def run(batches):
         for batch in batches:
@@ -277,12 +293,12 @@ def nodes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity:
                 prefix, cuts = set_join.prefixes(np.concatenate([np.zeros(0, np.uint64), *sets]), bounds, similarity, often)
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(prefix.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(majority(h, edges).view(np.int64)), pa.array(n.astype(np.int32)), pa.array(names[:, 0]), pa.array(names[:, 1]), lists],
-                    names=["id", "fp", "n", "s1", "s2", "prefix"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(majority(h, edges).view(np.int64)), pa.array(n.astype(np.int32)), pa.array(names[:, 0]), pa.array(names[:, 1]), lists, pa.array([sketch(x) for x in sets], pa.binary())],
+                    names=["id", "fp", "n", "s1", "s2", "prefix", "sketch"],
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, fp long, n int, s1 long, s2 long, prefix array<long>")
+    return rows.mapInArrow(run, "id long, fp long, n int, s1 long, s2 long, prefix array<long>, sketch binary")
 
 
 def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 10, similarity: float = 0.8) -> DataFrame:
@@ -305,18 +321,36 @@ def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = near_links(distinct, distance, 64).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     name = lambda c: distinct.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_id"))
     other = links.join(name("u"), "u").join(name("v"), "v").select(F.greatest("u_id", "v_id").alias("u"), F.least("u_id", "v_id").alias("v"))
-    tried = materialize(same.unionByName(other), "pairs")
+    tried = materialize(promising(same.unionByName(other), single, similarity), "pairs")
     kept = materialize(twins.unionByName(similar(docs, tried, id_col, text_col, shingle, similarity)), "kept")
 
     rows = set_join.postings(single)
     for hub in (True, False):  # links to one set of each bucket first: what they join needs no other comparison
         found = set_join.candidates(rows, components(kept), similarity, hub).join(tried, ["u", "v"], "left_anti")
-        found = materialize(found, "pairs")
+        found = materialize(promising(found, single, similarity), "pairs")
         kept = materialize(kept.unionByName(similar(docs, found, id_col, text_col, shingle, similarity)), "kept")
         tried = tried.unionByName(found)
     return components(kept)
 
 
+def promising(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets' sizes, and sketches of large sets, allow the similarity: only their sets are moved and compared."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.when(F.col("n") >= SKETCHED, F.col("sketch")).alias(f"s{c}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v").where(F.least("nu", "nv") >= F.lit(similarity - 1e-9) * F.greatest("nu", "nv"))
+
+    def run(batches):
+        for batch in batches:
+            known = batch.column(2).is_valid().to_numpy(zero_copy_only=False) & batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            ok = ~known
+            at = pa.array(np.flatnonzero(known))
+            a, b = (np.frombuffer(b"".join(batch.column(i).take(at).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
+            some = (a > 0) & (b > 0)
+            ok[known] = ((a == b) & some).sum(axis=1) >= EQUAL * some.sum(axis=1)
+            yield batch.select(["u", "v"]).filter(pa.array(ok))
+
+    return both.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+
+
 def similar(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """Those of the pairs (u, v) of ids whose shingle sets have a Jaccard similarity of `similarity` or more."""
     ends = materialize(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ends")
