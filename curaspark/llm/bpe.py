@@ -194,7 +194,7 @@ class PreTokens:
         for j in range(KEY_BLOCKS):
             known &= self.key[j][slot] == blocks[j]
         missing = np.flatnonzero(~known)
-        order = missing[np.argsort(h[missing], kind="stable")]
+        order = missing[np.argsort(h[missing])]
         a, b = order[:-1], order[1:]
         same = (h[a] == h[b]) & (size[a] == size[b]) & (blocks[:, a] == blocks[:, b]).all(axis=0)
         for i in np.flatnonzero(same & (size[a] > 8 * KEY_BLOCKS)).tolist():

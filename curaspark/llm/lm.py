@@ -36,13 +36,13 @@ from curaspark.llm.langid import held_out
 from curaspark.llm.pitman_yor import Seating
 from curaspark.llm.storage import drop, materialize, new_path
 
-SWEEPS, SAMPLES, MOVES = 4, 2, 2
+SWEEPS, SAMPLES, MOVES = 3, 2, 2
 #: Parts in which texts are sent to be scored: the disk that the rows take on their way is that of one part.
-PARTS = 3
+PARTS = 2
 FOLD = 1
 #: Bytes of text that are counted or sent at once, and tokens of a bucket.
 CHUNK_BYTES = 8 << 20
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS, LEAST_TOKENS = 2_000_000, 250_000
 #: Previous words of more than one in HOT tokens are frequent: there are fewer than HOT of them.
 HOT = 1 << 16
 #: Bytes that the spelling model looks at: its table has at most 256 ** SPELLING rows.
@@ -130,14 +130,14 @@ def count_words(docs: DataFrame, text_col: str, train: str | None = None) -> Dat
             flag = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
             yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([int(flag.sum())]), pa.array([len(flag)])], names=["word", "c", "a"])
             raw, off = textops.buffers(part.column(0))
-            for lo, hi in textops.chunks(off, CHUNK_BYTES // 2):
+            for lo, hi in textops.chunks(off, CHUNK_BYTES):
                 low = textops.LOWER[raw[off[lo] : off[hi]]]
                 starts, stops, rows = textops.words(low, off[lo : hi + 1] - off[lo])
                 if not len(starts):
                     continue
                 # equal hashes of a chunk are one row only if lengths and bytes agree, block by block
                 h = textops.word_hashes(low, starts, stops)
-                order = np.argsort(h, kind="stable")
+                order = np.argsort(h)
                 new = np.ones(len(h), bool)
                 a, b = order[:-1], order[1:]
                 blocks = textops.word_blocks(low, starts, stops, 2)
@@ -267,7 +267,7 @@ def packed_pairs(deal: Deal, kind: int, key: int, word: np.ndarray, more: np.nda
     if more is not None:
         span = int(more.max()) + 1
         pair = pair * span + more
-    order = np.argsort(pair, kind="stable")
+    order = np.argsort(pair)
     pair = pair[order]
     head = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
     times = np.add.reduceat(times[order], head)
@@ -277,7 +277,7 @@ def packed_pairs(deal: Deal, kind: int, key: int, word: np.ndarray, more: np.nda
         extra, pair = [pair % span], pair // span
     a, b = pair // size, pair % size
     bucket = deal.bucket(every[a], every[b])
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if deal.buckets < 1 << 16 else bucket, kind="stable")
     bucket = bucket[order]
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
     for lo, hi in zip(edges, edges[1:]):
@@ -314,10 +314,10 @@ def pairs(docs: DataFrame, deal: Deal, kind: int) -> DataFrame:
     return docs.mapInArrow(run, SPEC)
 
 
-def unpacked_pairs(r: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Previous word and word of each pair of a row."""
+def unpacked_pairs(r: dict, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Previous word and word of each pair of a row, by their places in the sorted names."""
     runs = opened(r["c1"])
-    return np.repeat(opened(r["c0"]).view(_U), runs), opened(r["c2"]).view(_U)[sums(opened(r["c3"]), runs)]
+    return np.repeat(np.searchsorted(contexts, opened(r["c0"]).view(_U)), runs), np.searchsorted(words, opened(r["c2"]).view(_U))[sums(opened(r["c3"]), runs)]
 
 
 # ---- buckets and groups
@@ -348,10 +348,9 @@ class Bucket:
             self.seating = Seating(opened(r["c4"]), opened(r["c5"]), opened(r["c6"]))
             self.before = opened(r["c7"])  # tables of the sweep before
         else:
-            found = [(*unpacked_pairs(r), opened(r["c4"])) for r in sorted(rows, key=lambda r: (r["c0"], r["c2"])) if r["kind"] == PAIRS]
-            a, b, n = (np.concatenate([f[i] for f in found]) for i in range(3))
-            self.contexts, a = np.unique(a, return_inverse=True)
-            self.words, b = np.unique(b, return_inverse=True)
+            rows = [r for r in rows if r["kind"] == PAIRS]
+            self.contexts, self.words = (np.unique(np.concatenate([opened(r[x]).view(_U) for r in rows])) for x in ("c0", "c2"))
+            a, b, n = map(np.concatenate, zip(*((*unpacked_pairs(r, self.contexts, self.words), opened(r["c4"])) for r in rows), strict=True))
             pair, which = np.unique(a * len(self.words) + b, return_inverse=True)
             self.context, self.word = pair // len(self.words), pair % len(self.words)
             self.seating = pitman_yor.at_one_table(np.bincount(which, n).astype(np.int64))
@@ -481,11 +480,11 @@ def scored(deal: Deal, levels: dict[int, Level], tops: dict[int, Level]):
             pair, size = mine.context * len(mine.words) + mine.word, len(mine.words)
             log_c, known = np.log10(answers.c + 0.5), answers.c > 0
         for r in texts:
-            before, word = unpacked_pairs(r)
-            a, b = np.searchsorted(mine.contexts, before), np.searchsorted(mine.words, word)
+            a, b = unpacked_pairs(r, mine.contexts, mine.words)
             at, number, times = np.searchsorted(pair, a * size + b), opened(r["c4"]), opened(r["c5"])
-            own, which = np.unique(number, return_inverse=True)
-            out.append(row(place, SCORES, r["key"], own, np.bincount(which, times * known[b]).astype(np.int64), np.bincount(which, times * log_c[b]), np.bincount(which, times * score[at])))
+            own = np.flatnonzero(np.bincount(number))
+            total = [np.bincount(number, times * x)[own] for x in (known[b], log_c[b], score[at])]
+            out.append(row(place, SCORES, r["key"], own, total[0].astype(np.int64), *total[1:]))
         return pa.Table.from_batches([batch(out)])
 
     return run
@@ -544,7 +543,8 @@ def _distinct_names(vocabulary: DataFrame) -> int:
 def _deal(vocabulary: DataFrame, seed: int) -> Deal:
     spark = vocabulary.sparkSession
     total = vocabulary.agg(F.sum("a")).first()[0]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TOKENS))
+    # as many as there are tasks, but none of very few tokens
+    buckets = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // LEAST_TOKENS), -(-total // BUCKET_TOKENS))
     least = max(total / HOT, total / (4 * buckets))
     hot = vocabulary.where(F.col("a") > least).select("word", "a").toArrow()
     if not hot.num_rows:

@@ -209,8 +209,9 @@ def test_lm_scores(docs, rows, empty, odd, spark):
     assert lm.lm_scores(empty).count() == 0 and lm.lm_scores(odd).count() == 7
 
 
-def test_lm_is_a_distribution(spark):
+def test_lm_is_a_distribution(spark, monkeypatch):
     """For each previous word, all words and all spellings that are no word have probability one together."""
+    monkeypatch.setattr(lm, "LEAST_TOKENS", 300)
     words = ["a", "b", "cc", "dé", "e", "f"]
     text = lambda seed, n: " ".join(random.Random(seed).choice(words[:4]) for _ in range(n))
     rows = [(i, text(i, 30), True) for i in range(40)] + [(99, " ".join(f"{u} {w}" for u in words for w in words), False)] + [(100 + i, w, False) for i, w in enumerate(words)]
@@ -280,7 +281,7 @@ def test_seating_follows_the_enumerated_posterior():
 def test_grid_evidence_is_the_chance_of_the_seating():
     """A restaurant of dishes with 4 and 1 customers, tables opened by the 1st and 3rd: against the product of all odds."""
     s = pitman_yor.Seating(np.array([4, 1]), np.array([2, 1]), np.array([3]))
-    i, j = 4, 2
+    i, j = 3, 2
     d, strength = pitman_yor.DISCOUNTS[i], pitman_yor.STRENGTHS[j]
     opened = (strength + d) * (strength + 2 * d)
     joined = (1 - d) * (3 - 2 * d)
@@ -309,6 +310,7 @@ def test_lm_knows_word_order_and_beats_the_base(spark):
 def test_lm_splits_frequent_contexts_and_counts_colliding_words(spark, monkeypatch):
     """Many small buckets, a previous word of half of all tokens, and the Thue-Morse pair."""
     monkeypatch.setattr(lm, "BUCKET_TOKENS", 50)
+    monkeypatch.setattr(lm, "LEAST_TOKENS", 50)
     pair = thue_morse(1024)
     rows = [(i, " ".join(f"the {w}" for w in random.Random(i).sample("abcdefghij", 5))) for i in range(60)] + [(i, pair[0]) for i in range(60, 70)] + [(200 + i, pair[1]) for i in range(10)]
     train = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1}
