@@ -15,10 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curaspark.llm.storage import materialize
-
 #: Texts sampled for frequent shingles, the count there that makes one frequent, and the most that the order knows.
-SAMPLE, OFTEN, FREQUENT = 8_192, 4, 65_536
+SAMPLE, OFTEN, FREQUENT = 32_768, 4, 262_144
 #: Pairs that a task holds before it drops the repeated ones.
 HELD = 1 << 20
 
@@ -95,7 +93,7 @@ def postings(nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (gram, *more)], names=["gram", "id", "n", "place"])
 
     rows = nodes.select("id", "n", F.posexplode("prefix").alias("place", "gram")).select("gram", "id", "n", "place")
-    return materialize(rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "gram long, id long, n int, place int"), "postings")
+    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "gram long, id long, n int, place int")
 
 
 def candidates(rows: DataFrame, roots: DataFrame, similarity: float, hub: bool) -> DataFrame:

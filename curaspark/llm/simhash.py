@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from curaspark.llm import exact_dedup, set_join, textops
 from curaspark.llm.components import components
-from curaspark.llm.storage import materialize
+from curaspark.llm.storage import drop, materialize, new_path
 
 BITS = 64
 SEED = 42
@@ -309,28 +309,37 @@ def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Every id but the smallest of its group has a row. Ids must be unique; null ids are in no group.
     """
     docs = docs.where(F.col(id_col).isNotNull())
+    made: list[str] = []
+
+    def table(df: DataFrame, name: str) -> DataFrame:
+        made.append(new_path(docs.sparkSession, name))
+        return materialize(df, name, made[-1])
+
     part = max(1, docs.count() // set_join.SAMPLE)
     often = set_join.frequent(shingle_sets(docs.where(F.pmod(F.xxhash64(id_col), F.lit(part)) == 0), id_col, text_col, shingle))
-    prints = materialize(nodes(docs, id_col, text_col, shingle, similarity, often), "fingerprints")
+    prints = table(nodes(docs, id_col, text_col, shingle, similarity, often), "fingerprints")
     equal = prints.groupBy("s1", "s2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    twins = materialize(prints.select("id", "s1", "s2").join(equal, ["s1", "s2"]).where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")), "twins")
+    twins = table(prints.select("id", "s1", "s2").join(equal, ["s1", "s2"]).where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")), "twins")
     single = prints.join(twins, F.col("id") == F.col("u"), "left_anti")
 
-    distinct = materialize(single.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    distinct = table(single.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     same = single.select("id", "fp").join(distinct, "fp").where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
-    links = near_links(distinct, distance, 64).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    links = near_links(distinct, distance, 2).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     name = lambda c: distinct.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_id"))
     other = links.join(name("u"), "u").join(name("v"), "v").select(F.greatest("u_id", "v_id").alias("u"), F.least("u_id", "v_id").alias("v"))
-    tried = materialize(promising(same.unionByName(other), single, similarity), "pairs")
-    kept = materialize(twins.unionByName(similar(docs, tried, id_col, text_col, shingle, similarity)), "kept")
+    tried = table(promising(same.unionByName(other), single, similarity), "pairs")
+    kept = table(twins.unionByName(similar(docs, tried, id_col, text_col, shingle, similarity, table)), "kept")
 
-    rows = set_join.postings(single)
+    rows = table(set_join.postings(single), "postings")
     for hub in (True, False):  # links to one set of each bucket first: what they join needs no other comparison
         found = set_join.candidates(rows, components(kept), similarity, hub).join(tried, ["u", "v"], "left_anti")
-        found = materialize(promising(found, single, similarity), "pairs")
-        kept = materialize(kept.unionByName(similar(docs, found, id_col, text_col, shingle, similarity)), "kept")
+        found = table(promising(found, single, similarity), "pairs")
+        kept = table(kept.unionByName(similar(docs, found, id_col, text_col, shingle, similarity, table)), "kept")
         tried = tried.unionByName(found)
-    return components(kept)
+    groups = components(kept)  # a table of its own
+    for path in made:
+        drop(docs.sparkSession, path)
+    return groups
 
 
 def promising(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -351,11 +360,11 @@ def promising(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
-def similar(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+def similar(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, table=materialize) -> DataFrame:
     """Those of the pairs (u, v) of ids whose shingle sets have a Jaccard similarity of `similarity` or more."""
-    ends = materialize(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ends")
+    ends = table(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ends")
     sets = shingle_sets(exact_dedup.among(docs.select(id_col, text_col), id_col, ends), id_col, text_col, shingle)
-    sets = materialize(sets, "shingles")
+    sets = table(sets, "shingles")
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("grams").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     union = F.size("a") + F.size("b") - shared
