@@ -30,18 +30,18 @@ def normalized(x: Column, unicode: bool = True) -> Column:
     return squash(nfkc_casefold(x)) if unicode else F.lower(squash(x))
 
 
-def compact(x: Column) -> Column:
-    """Letters and numbers only, lower case."""
-    return F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]", "")
+def compact(x: Column, unicode: bool = True) -> Column:
+    """Letters and numbers only, NFKC and casefolded; without unicode (text known to be NFKC-stable) native, with lower()."""
+    return F.regexp_replace(nfkc_casefold(x) if unicode else F.lower(x), r"[^\p{L}\p{N}]", "")
 
 
-def word_key(x: Column) -> Column:
-    return F.regexp_replace(F.lower(x), r"(?U)[\W_]+", "")
+def word_key(x: Column, unicode: bool = True) -> Column:
+    return F.regexp_replace(nfkc_casefold(x) if unicode else F.lower(x), r"(?U)[\W_]+", "")
 
 
-def portal_key(x: Column) -> Column:
+def portal_key(x: Column, unicode: bool = True) -> Column:
     """Without spaces, punctuation and symbols."""
-    return F.regexp_replace(F.lower(x), r"[\s\p{P}\p{S}]", "")
+    return F.regexp_replace(nfkc_casefold(x) if unicode else F.lower(x), r"[\s\p{P}\p{S}]", "")
 
 
 def has_term(text: Column, term: str) -> Column:
@@ -58,8 +58,10 @@ def first_term(text: Column, terms: list[str]) -> Column:
     return F.coalesce(*[F.when(has_term(text, t), F.lit(t)) for t in terms])
 
 
-def safe_title(x: Column, length: int = 120) -> Column:
-    return F.rtrim(F.left(F.regexp_replace(squash(x), r'[<>:"/\\|?*\x00-\x1F]+', "_"), F.lit(length)))
+def safe_title(x: Column, fallback: Column) -> Column:
+    """Without the characters that file names cannot have, white space around it and dots at its end; the fallback if nothing is left."""
+    kept = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r'[\\/:*?"<>|]', "")), r"\.+$", "")
+    return F.when(kept != "", kept).otherwise(fallback)
 
 
 def snippet(x: Column, length: int = 300) -> Column:
@@ -72,10 +74,16 @@ def ellipsis(x: Column, length: int = 280) -> Column:
     return F.when(F.char_length(line) > length, F.concat(F.left(line, F.lit(length - 3)), F.lit("..."))).otherwise(line)
 
 
-def section_prefix(section: Column) -> Column:
-    """x, h or z by a section's name."""
-    s = F.lower(F.coalesce(section, F.lit("")))
-    return F.when(s.startswith("h") | F.contains(s, F.lit("汉化")), "h").when(s.startswith("z") | F.contains(s, F.lit("杂")), "z").otherwise("x")
+def section_label(section: Column, sequence: Column) -> Column:
+    """A section's name; one that was decoded wrongly is taken from the place in the document."""
+    name = F.coalesce(F.nullif(F.trim(section), F.lit("")), F.lit("news"))
+    return F.when(F.contains(name, F.lit("\ufffd")), F.when(sequence <= 10, "新作").otherwise("其他")).otherwise(name)
+
+
+def section_prefix(section: Column, unicode: bool = True) -> Column:
+    """x (new works), h (localizations) or z (all else)."""
+    s = F.regexp_replace(nfkc_casefold(section) if unicode else F.lower(section), r"(?U)\s+", "")
+    return F.when(F.contains(s, F.lit("新作")), "x").when(F.contains(s, F.lit("汉化")) | F.contains(s, F.lit("漢化")), "h").otherwise("z")
 
 
 def glued_urls(x: Column) -> Column:
@@ -90,20 +98,27 @@ def redact(x: Column) -> Column:
     return F.regexp_replace(x, r"(?i)\b(api[_-]?key|token|secret|password|authorization)\b(\s*[=:]\s*)[^\s&,;]+", "$1$2[redacted]")
 
 
-def error_code(message: Column) -> Column:
-    m = F.lower(message)
-    return (
-        F.when(F.contains(m, F.lit("timeout")) | F.contains(m, F.lit("timed out")), "timeout")
-        .when(F.regexp_like(m, F.lit(r"\b429\b|rate limit")), "rate_limited")
-        .when(F.regexp_like(m, F.lit(r"\b5\d\d\b")), "server_error")
-        .when(F.regexp_like(m, F.lit(r"\b4\d\d\b")), "client_error")
-        .when(F.contains(m, F.lit("certificate")), "tls_error")
-        .otherwise("unknown")
-    )
-
-
-def retryable(code: Column) -> Column:
-    return code.isin("timeout", "rate_limited", "server_error", "unknown")
+# Kinds of errors and their codes.
+ERROR_CODES = {
+    "permission": ("file_permission", True), "not_found": ("file_missing", False), "database_locked": ("sqlite_locked", True), "json": ("corrupt_json", False), "unicode": ("corrupt_json", False),
+    "image": ("image_decode", False), "connection": ("connect", True), "protocol": ("connect", True), "database": ("sqlite_error", False),
+}
+
+
+def diagnosis(kind: Column, status: Column, message: Column) -> Column:
+    """struct(code, retryable) of an error's kind, HTTP status and message: the first rule that holds decides."""
+    m, out = F.lower(F.coalesce(message, F.lit(""))), lambda c, r: F.struct(F.lit(c).alias("code"), r.alias("retryable"))
+    yes, no = F.lit(True), F.lit(False)
+    broken = F.regexp_like(m, F.lit("broken data stream|image file is truncated|cannot identify image"))
+    named = F.when(kind == "timeout", out("timeout", yes)).when(status == 429, out("http_429", yes)).when(status.isNotNull(), out("http_error", status >= 500))
+    for name, (code, again) in ERROR_CODES.items():
+        here = kind == name
+        if name == "database_locked":
+            here = here | ((kind == "database") & F.contains(m, F.lit("locked")))
+        if name == "image":
+            here = here | ((kind == "os") & broken)
+        named = named.when(here, out(code, F.lit(again)))
+    return named.otherwise(out("error", no))
 
 
 def first_date(x: Column) -> Column:

@@ -25,6 +25,9 @@ THIRD_PARTY = ["cbrimages.com", "3dmgame.com", "amazon.com", "media-amazon.com",
 TRUSTED_DATABASES = ["vndb.org", "vndb.net", "vgmdb.net"]
 AGGREGATORS = ["fandom.com", "wikipedia.org", "myanimelist.net", "bangumi.tv", "game8.jp"]
 DEFAULT_TRUST = {"official_site": 1.0, "official_x": 0.9, "steam": 0.85, "direct_image": 0.65, "unverified": 0.25}
+X_HOSTS = ["x.com", "twitter.com", "www.x.com", "www.twitter.com"]
+STEAM_HOSTS = ["store.steampowered.com", "steamcommunity.com"]
+VIDEO_HOSTS = ["youtube.com", "www.youtube.com", "youtu.be", "bilibili.com", "www.bilibili.com"]
 LOGO = ["logo", "brand-logo", "site-logo", "logo_mark"]
 BANNER = ["banner", "bnr", "header", "footer", "mainvisual-banner", "campaign-banner"]
 UI = ["button", "btn", "icon", "arrow", "menu", "navigation", "loading", "spinner", "favicon", "steam_share_image"]
@@ -57,9 +60,9 @@ def source_type(u: Column) -> Column:
     return rules(
         (F.regexp_like(p, F.lit(r"\.(mp4|webm|m3u8)$")), out("video", 0.5, True)),
         (F.regexp_like(p, F.lit(urls.IMAGE_SUFFIX)), out("direct_image", 0.8, False)),
-        (urls.within(h, ["x.com", "twitter.com"]), out("official_x", 0.9, False)),
-        (urls.within(h, ["steampowered.com", "steamcommunity.com"]), out("steam", 0.85, False)),
-        (urls.within(h, ["youtube.com", "youtu.be", "bilibili.com"]), out("video", 0.5, True)),
+        (h.isin(X_HOSTS), out("official_x", 0.9, False)),
+        (h.isin(STEAM_HOSTS), out("steam", 0.85, False)),
+        (h.isin(VIDEO_HOSTS), out("video", 0.5, True)),
         (urls.within(h, ["vndb.org"]), out("unverified", 0.25, True)),
         otherwise=out("official_site", 0.75, False),
     )

@@ -40,6 +40,10 @@ def score(candidates: DataFrame, weights: dict | None = None, penalty: float | N
     size = F.when((F.col("width") > 0) & (F.col("height") > 0), unit(F.least(F.col("width") / 1280.0, F.col("height") / 720.0))).otherwise(0.5)
     quality = F.when(F.col("detail").isNotNull(), 0.7 * size + 0.3 * unit(F.col("detail"))).otherwise(size)
     total = 100 * (w["relevance"] * F.col("relevance") + w["freshness"] * F.col("freshness") + w["source_trust"] * F.col("trust") + w["quality"] * F.col("quality"))
+    # penalties are parts of the total score too; both are 0 unless an overlay sets them
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("double") if c in candidates.columns else F.lit(0.0)
+    if w.get("duplicate_penalty") or w.get("risk_penalty"):
+        total = total - 100 * (w.get("duplicate_penalty", 0.0) * flag("duplicate") + w.get("risk_penalty", 0.0) * flag("risk"))
     out = candidates.withColumns({"relevance": rel, "freshness": fresh, "trust": trust, "quality": quality, "type_score": match})
     # the nudge makes halves round up whatever the order of summing
     return out.withColumn("total", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)) + 1e-9, 6))

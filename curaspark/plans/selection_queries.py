@@ -64,13 +64,17 @@ def selection_shortfall(spark, d):
     return selection.shortfall(items, rows)
 
 
-HASHES = """h AS (SELECT vec_id, label, embedding, list_sum(embedding::DOUBLE[]) / len(embedding) AS m FROM embeddings),
-b AS (SELECT vec_id, label, list_reduce(list_prepend(0::BIGINT, list_transform(embedding[1:30], lambda x: CASE WHEN x::DOUBLE >= m THEN 1::BIGINT ELSE 0::BIGINT END)), lambda a, x: a * 2 + x) AS lo,
-  list_reduce(list_prepend(0::BIGINT, list_transform(embedding[31:60], lambda x: CASE WHEN x::DOUBLE >= m THEN 1::BIGINT ELSE 0::BIGINT END)), lambda a, x: a * 2 + x) AS hi FROM h)"""
+HASHES = """e AS (SELECT vec_id, label, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, label, list_concat([-embedding[1]], embedding[2:64]) FROM embeddings WHERE vec_id % 5 = 0),
+h AS (SELECT vec_id, label, embedding, list_sum(embedding::DOUBLE[]) / len(embedding) AS m FROM e),
+b AS (SELECT vec_id, label, list_reduce(list_prepend(0::BIGINT, list_transform(embedding[1:32], lambda x: CASE WHEN x::DOUBLE >= m THEN 1::BIGINT ELSE 0::BIGINT END)), lambda a, x: a * 2 + x) AS lo,
+  list_reduce(list_prepend(0::BIGINT, list_transform(embedding[33:64], lambda x: CASE WHEN x::DOUBLE >= m THEN 1::BIGINT ELSE 0::BIGINT END)), lambda a, x: a * 2 + x) AS hi FROM h)"""
 
 
 def _hashes(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", "label", hashing.mean_bits(F.col("embedding"), 0, 30).alias("lo"), hashing.mean_bits(F.col("embedding"), 30, 30).alias("hi"))
+    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    turned = F.concat(F.array(-F.col("embedding")[0]), F.slice("embedding", 2, 63))
+    e = e.unionByName(e.where("vec_id % 5 = 0").select((F.col("vec_id") + 1_000_000).alias("vec_id"), "label", turned.alias("embedding")))  # near copies
+    return e.select("vec_id", "label", hashing.mean_bits(F.col("embedding"), 0, 32).alias("lo"), hashing.mean_bits(F.col("embedding"), 32, 32).alias("hi"))
 
 
 @query(f"WITH {HASHES} SELECT vec_id, lo, hi FROM b")
@@ -81,19 +85,18 @@ def perceptual_hash(spark, d):
 @query(f"""WITH RECURSIVE {HASHES},
 g AS (SELECT label, lo, hi, min(vec_id) AS vec_id FROM b GROUP BY ALL),
 o AS (SELECT label, list({{'v': vec_id, 'lo': lo, 'hi': hi}} ORDER BY vec_id) AS xs FROM g GROUP BY label),
-r AS (SELECT label, list_reduce(list_prepend([xs[1]], list_transform(xs, lambda x: [x])), lambda acc, x: CASE WHEN len(list_filter(acc, lambda a: bit_count(xor(a.lo, x[1].lo)) + bit_count(xor(a.hi, x[1].hi)) <= 23)) > 0 THEN acc ELSE list_concat(acc, x) END) AS kept FROM o)
+r AS (SELECT label, list_reduce(list_prepend([xs[1]], list_transform(xs, lambda x: [x])), lambda acc, x: CASE WHEN len(list_filter(acc, lambda a: bit_count(xor(a.lo, x[1].lo)) + bit_count(xor(a.hi, x[1].hi)) <= 8)) > 0 THEN acc ELSE list_concat(acc, x) END) AS kept FROM o)
 SELECT label, unnest(list_transform(kept, lambda a: a.v)) AS vec_id FROM r""")
 def leader_dedup(spark, d):
-    return selection.leaders(_hashes(spark, d), "label", "vec_id", "vec_id", ["lo", "hi"], 23).select("label", "vec_id")
+    return selection.leaders(_hashes(spark, d), "label", "vec_id", "vec_id", ["lo", "hi"], 8).select("label", "vec_id")
 
 
-@query("""WITH h AS (SELECT doc_id, source, md5(substr(text, 1, 40))[1:16] AS hex FROM documents)
-SELECT a.source AS source, a.doc_id AS a, b.doc_id AS b, CAST(bit_count(xor(('0x' || a.hex[1:8])::BIGINT, ('0x' || b.hex[1:8])::BIGINT)) + bit_count(xor(('0x' || a.hex[9:16])::BIGINT, ('0x' || b.hex[9:16])::BIGINT)) AS INTEGER) AS distance
-FROM h a JOIN h b ON a.source = b.source AND a.doc_id < b.doc_id
-WHERE bit_count(xor(('0x' || a.hex[1:8])::BIGINT, ('0x' || b.hex[1:8])::BIGINT)) + bit_count(xor(('0x' || a.hex[9:16])::BIGINT, ('0x' || b.hex[9:16])::BIGINT)) <= 8""")
+@query(f"""WITH {HASHES} SELECT x.label AS label, x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.lo, y.lo)) + bit_count(xor(x.hi, y.hi)) AS INTEGER) AS distance
+FROM b x JOIN b y ON x.label = y.label AND x.vec_id < y.vec_id WHERE bit_count(xor(x.lo, y.lo)) + bit_count(xor(x.hi, y.hi)) <= 8""")
 def hamming_pairs(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "source", F.substring(F.md5(F.substring("text", 1, 40)), 1, 16).alias("hex"))
-    return relational.hamming_join(rows, "source", "doc_id", "hex", 8)
+    half = lambda c: F.lpad(F.hex(c), 8, "0")
+    rows = _hashes(spark, d).select("vec_id", "label", F.lower(F.concat(half("lo"), half("hi"))).alias("hex"))
+    return relational.hamming_join(rows, "label", "vec_id", "hex", 8)
 
 
 @query(f"""WITH {SCORED} SELECT item_id, candidate_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY total DESC, candidate_id) AS turn FROM scored) ORDER BY turn, item_id LIMIT 60""")

@@ -132,7 +132,7 @@ def candidate_ids(spark, d):
 @query(r"""SELECT doc_id, md5(regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g')) AS compact_md5, md5(regexp_replace(lower(text), '[\s\p{P}\p{S}]', '', 'g')) AS portal_md5 FROM documents""")
 def text_keys(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.md5(text.compact(t)).alias("compact_md5"), F.md5(text.portal_key(t)).alias("portal_md5"))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.compact(t, False)).alias("compact_md5"), F.md5(text.portal_key(t, False)).alias("portal_md5"))
 
 
 @query(r"""WITH s AS (SELECT doc_id, regexp_replace(text, '[\r\n]+', ' ', 'g') AS t FROM documents) SELECT doc_id, substr(t, 1, 300) AS snippet, CASE WHEN length(t) > 280 THEN left(t, 277) || '...' ELSE t END AS short FROM s""")
@@ -209,11 +209,11 @@ def keyed_upsert(spark, d):
     return relational.upsert(c.where("c_custkey % 3 <> 0"), c.where("c_custkey % 2 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1), ["c_custkey"])
 
 
-@query("""WITH k AS (SELECT md5(text) AS h, min(item_id) AS item_id FROM benchmark GROUP BY 1), p AS (SELECT left(text, 40) AS pre, min(item_id) AS item_id FROM benchmark GROUP BY 1)
-SELECT d.doc_id, coalesce(k.item_id, p.item_id) AS known_id FROM documents d LEFT JOIN k ON md5(d.text) = k.h LEFT JOIN p ON left(d.text, 40) = p.pre""")
+@query("""WITH k AS (SELECT md5(text) AS h, min(item_id) AS item_id FROM benchmark GROUP BY 1), p AS (SELECT md5(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g')) AS pre, min(item_id) AS item_id FROM benchmark GROUP BY 1)
+SELECT d.doc_id, coalesce(k.item_id, p.item_id) AS known_id FROM documents d LEFT JOIN k ON md5(d.text) = k.h LEFT JOIN p ON md5(regexp_replace(lower(d.text), '[^\\p{L}\\p{N}]', '', 'g')) = p.pre""")
 def known_item_lookup(spark, d):
-    """By content hash first, else by the weaker key; the least id wins."""
-    key = lambda t: t.withColumns({"h": F.md5("text"), "pre": F.left("text", F.lit(40))})
+    """By content hash first, else by the hash of letters and numbers only; the least id wins."""
+    key = lambda t: t.withColumns({"h": F.md5("text"), "pre": F.md5(text.compact(F.col("text"), False))})
     rows, known = key(table(spark, d, "documents")).select("doc_id", "h", "pre"), key(table(spark, d, "benchmark")).select("item_id", "h", "pre")
     return relational.known_item(rows, known, ["h", "pre"], "item_id").select("doc_id", "known_id")
 

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 PARAGRAPH = "issue string, idx int, text string, all_bold boolean, font_sizes array<int>, error string"
 # Fixed values.
-HEADING = r"^\s*([^#\n]{1,200}?)\s*#\s*([^#\n]*?)\s*#?\s*$"
-SECTION_WORDS = ["新作", "汉化", "发售", "活动", "周边", "杂项", "其他", "更新", "资讯", "新闻"]
+HEADING = r"^\s*([^#\n]+?)\s*#\s*([^#\n]+?)\s*#?\s*$"
+SECTIONS = ["新作", "旧作", "舊作", "动画", "動畫", "周边", "周邊", "业界", "業界", "其他", "其它", "汉化", "漢化"]
+PREAMBLES = ["目录", "目錄", "索引", "内容", "內容", "周报目录", "周報目錄"]
+LOCALIZATIONS = r"^[汉漢]化(?:信息|情報|新闻|新聞)?$"
 
 
 def paragraphs_of(content: bytes) -> list[tuple[str, bool, list[int]]]:
@@ -52,25 +54,25 @@ def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
 
 def is_heading(text: Column) -> Column:
     """`title # author`, with no URL."""
-    return F.regexp_like(text, F.lit(HEADING)) & ~F.contains(text, F.lit("http"))
+    return F.regexp_like(text, F.lit(HEADING)) & ~F.regexp_like(text, F.lit("(?i)https?://"))
 
 
 def is_section(text: Column) -> Column:
-    has = F.lit(False)
-    for w in SECTION_WORDS:
-        has = has | F.contains(text, F.lit(w))
-    return (F.char_length(text) <= 16) & has & ~F.regexp_like(text, F.lit("[。！？!?#]"))
+    """A known section's name of at most 16 characters; a table of contents' title is none."""
+    line = F.trim(text)
+    known = line.isin(SECTIONS) | F.regexp_like(line, F.lit(LOCALIZATIONS))
+    return known & (F.char_length(line) <= 16) & ~line.isin(PREAMBLES) & ~F.contains(line, F.lit("#")) & ~F.regexp_like(line, F.lit("(?i)https?://|[。！？.!?]$"))
 
 
 def entries(paragraphs: DataFrame) -> DataFrame:
     """(issue, sequence, section, title, author, body) from paragraphs in order of idx.
 
-    A heading, or a bold paragraph of size 30 before a plain one of size 22, opens an entry; section labels carry forward.
+    A heading, or a bold paragraph of size 30 alone before a plain one of size 22 alone, opens an entry; section labels carry forward.
     """
     w = Window.partitionBy("issue").orderBy("idx")
     after = lambda c: F.lead(c).over(w)
-    has = lambda c, n: F.coalesce(F.array_contains(c, n), F.lit(False))
-    styled = F.col("all_bold") & has(F.col("font_sizes"), 30) & ~F.coalesce(after("all_bold"), F.lit(True)) & has(after("font_sizes"), 22)
+    only = lambda c, n: F.coalesce(c == F.array(F.lit(n)), F.lit(False))
+    styled = F.col("all_bold") & only(F.col("font_sizes"), 30) & ~F.coalesce(after("all_bold"), F.lit(True)) & only(after("font_sizes"), 22)
     marked = paragraphs.where("error is null").withColumns({"label": is_section(F.col("text")), "opens": is_heading(F.col("text")) | styled})
     marked = marked.withColumn("opens", F.col("opens") & ~F.col("label"))
     marked = marked.withColumns({

@@ -25,6 +25,23 @@ def test_normalized(spark):
     assert one(spark, text.normalized(F.col("x")), x="  Ｃｇ　Straße ") == "cg strasse"
 
 
+def test_error_rules(spark):
+    got = lambda k, s, m: tuple(one(spark, text.diagnosis(F.lit(k), F.lit(s).cast("int"), F.lit(m))))
+    for case, want in ((("timeout", None, ""), ("timeout", True)), (("http", 429, ""), ("http_429", True)), (("http", 503, ""), ("http_error", True)), (("http", 404, ""), ("http_error", False)), (("database", None, "Database is LOCKED"), ("sqlite_locked", True)), (("database", None, "no table"), ("sqlite_error", False)), (("os", None, "cannot identify image file"), ("image_decode", False)), (("value", None, "?"), ("error", False))):
+        assert got(*case) == want
+
+
+def test_sections(spark):
+    for name, place, prefix in (("新作", 1, "x"), ("漢　化 情報", 1, "h"), ("hobby", 1, "z"), (None, 1, "z"), ("\ufffd\ufffd", 3, "x"), ("\ufffd\ufffd", 30, "z")):
+        label = text.section_label(F.lit(name).cast("string"), F.lit(place))
+        assert one(spark, text.section_prefix(label), x=1) == prefix
+
+
+def test_safe_titles(spark):
+    for raw, want in ((" a:b/c?.. ", "abc"), ("...", "f"), (None, "f"), ("x y.", "x y")):
+        assert one(spark, text.safe_title(F.lit(raw).cast("string"), F.lit("f")), x=1) == want
+
+
 def test_terms(spark):
     for t, term, hit in (("my-logo2.png", "logo", True), ("catalogue", "logo", False), ("立绘图", "立绘", True)):
         assert one(spark, text.has_term(F.col("x"), term), x=t) is hit
