@@ -3,8 +3,8 @@
 Subwords are the letter n-grams (2 to 4 codepoints, word edges marked) of lower-cased text, hashed into BUCKETS. A text is
 the mean of its subwords' embeddings; a linear layer and softmax give the languages. Training is stochastic gradient
 descent in numpy on a bounded sample (TRAIN_ROWS) of labelled rows. A fifth of the sample is kept from training and
-fixes the softmax temperature, so that scores are probabilities; a text whose best calibrated probability is under
-REJECT is rejected. The trained layers multiply out to one table of BUCKETS x languages, so that prediction over the
+fixes the softmax temperature, so that scores are probabilities, and the threshold under which a text is rejected: the one
+that costs at most REJECTED of the kept rows, within bounds. The trained layers multiply out to one table of BUCKETS x languages, so that prediction over the
 whole corpus is look-ups and sums.
 """
 
@@ -25,10 +25,10 @@ GRAMS = (2, 3, 4)
 DIM = 16
 EPOCHS = 4
 RATE = 4.0
-#: Bound of the training sample: expected rows, and bytes of a text in it.
-TRAIN_ROWS = 4_000
-TRAIN_TEXT_BYTES = 1 << 20
-REJECT = 0.4
+#: Bound of the training sample: expected rows, and n-grams of a row, spread evenly over its whole text.
+TRAIN_ROWS, TRAIN_GRAMS = 4_000, 2_048
+#: Share of the rows kept from training that rejection may cost, and bounds of the threshold so chosen.
+REJECTED, LEAST_REJECT, MOST_REJECT = 0.001, 0.3, 0.5
 UNKNOWN = "und"
 SEED = 7
 
@@ -92,6 +92,7 @@ class Model:
     table: np.ndarray  # BUCKETS x languages, float32
     bias: np.ndarray
     temperature: float
+    reject: float = LEAST_REJECT
 
     def scores(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Calibrated probabilities by row, and whether a row has a subword at all."""
@@ -113,16 +114,23 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def bag(raw: np.ndarray) -> np.ndarray:
+    """At most TRAIN_GRAMS n-grams of a text, at even distances over all of it."""
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    every = np.concatenate(features(raw, np.array([0, len(raw)]))[0])
+    return every[:: max(1, -(-len(every) // TRAIN_GRAMS))]
+
+
 def train(texts: list[str], languages: list[str], seed: int = SEED) -> Model | None:
+    return train_bags([bag(np.frombuffer(t.encode(), np.uint8)) for t in texts], languages, seed)
+
+
+def train_bags(grams: list[np.ndarray], languages: list[str], seed: int = SEED) -> Model | None:
     """None if nothing is labelled."""
     bags, labels = [], []
     names = sorted(set(languages))
-    for text, lang in zip(texts, languages, strict=True):
-        raw = np.frombuffer(text.encode(), np.uint8)
-        if not len(raw):
-            continue
-        found, _ = features(raw, np.array([0, len(raw)]))
-        every = np.concatenate(found)
+    for every, lang in zip(grams, languages, strict=True):
         if len(every):
             ids, counts = np.unique(every, return_counts=True)
             bags.append((ids, (counts / counts.sum()).astype(np.float32)))
@@ -157,7 +165,9 @@ def train(texts: list[str], languages: list[str], seed: int = SEED) -> Model | N
     truth = np.array([labels[i] for i in (held if len(held) else fit)])
     grid = np.geomspace(0.05, 20, 121)
     loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in grid]
-    return Model(names, table, bias, float(grid[int(np.argmin(loss))]))
+    heat = float(grid[int(np.argmin(loss))])
+    reject = float(np.clip(np.quantile(softmax(logits / heat).max(axis=1), REJECTED), LEAST_REJECT, MOST_REJECT))
+    return Model(names, table, bias, heat, reject)
 
 
 def held_out(id_col: str, fold: int = 0) -> Column:
@@ -167,11 +177,18 @@ def held_out(id_col: str, fold: int = 0) -> Column:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model | None:
     """Trains on about train_rows of the labelled rows that are not held out, spread by a hash of the id."""
-    labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= TRAIN_TEXT_BYTES))
+    labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     share = min(1.0, train_rows / max(1, labelled.count()))
     sample = labelled.where(F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col)), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = sorted(sample.limit(2 * train_rows).collect(), key=lambda r: (r[0], r[1]))
-    return train([r[1] for r in rows], [r[2] for r in rows])
+
+    def bags(batches):
+        for batch in batches:
+            grams = [bag(np.frombuffer((t.as_py() or "").encode(), np.uint8)).astype("<u4").tobytes() for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.binary()), batch.column(1)], names=["grams", "lang"])
+
+    got = sample.select("text", "lang").mapInArrow(bags, "grams binary, lang string").limit(2 * train_rows).collect()
+    rows = sorted((r.lang, bytes(r.grams)) for r in got)
+    return train_bags([np.frombuffer(g, "<u4").astype(np.int64) for _, g in rows], [lang for lang, _ in rows])
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
@@ -179,7 +196,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     lang_pred is `und` with score 0, and rejected, where the text is null or has no letter, or where nothing was
     learned. Otherwise it is the likeliest learned language, of two equal ones the first by name, and rejected says
-    whether its calibrated probability is under REJECT. Repeated rows give repeated rows; an empty table none. With
+    whether its calibrated probability is under the model's threshold. Repeated rows give repeated rows; an empty table none. With
     keep_columns the input's columns come first, those of the same name replaced.
     """
     spark = docs.sparkSession
@@ -205,7 +222,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 langs += [model.languages[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
                 scores.append(np.where(some, p[np.arange(len(best)), best], 0.0))
             score = np.concatenate(scores)
-            new = [pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(score < REJECT, pa.bool_())]
+            new = [pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(score < (shared.value.reject if shared.value else LEAST_REJECT), pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(i) for i in range(2, batch.num_columns)], *new], names=["id", *[f"x{i}" for i in range(len(carried))], "lang_pred", "score", "rejected"])
 
     out = inner.mapInArrow(run, f"id {dict(inner.dtypes)['id']}{rest}, lang_pred string, score double, rejected boolean")

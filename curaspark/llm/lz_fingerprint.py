@@ -21,7 +21,7 @@ from curaspark.llm import textops
 SLOTS = 64
 #: Hex digits of a slot; the value of an empty slot.
 DIGITS, EMPTY = 4, 0xFFFF
-#: Longer words are cut into units of so many bytes.
+#: Words of more bytes, as texts without spaces have, are read codepoint by codepoint.
 UNIT = 32
 #: Rows of a range of ids, until MAX_PARTS ranges bound the plan; larger ranges are streamed as well.
 PART_ROWS, MAX_PARTS = 4_096, 2_000
@@ -33,7 +33,7 @@ _K = 0x9E3779B97F4A7C15
 
 
 def units(texts: list[str]) -> list[np.ndarray]:
-    """64-bit hashes of the units of each text: words between ASCII white space, longer ones in pieces.
+    """64-bit hashes of the units of each text: words between ASCII white space, the codepoints of long ones.
 
     White space alone or an empty text has one unit, the text itself, so that equal texts are alike and others are not.
     """
@@ -43,11 +43,14 @@ def units(texts: list[str]) -> list[np.ndarray]:
         part, edge = raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         starts, stops, rows = textops.words(part, edge)
         if len(starts) and (stops - starts).max() > UNIT:
-            pieces = -(-(stops - starts) // UNIT)
+            lead = (part & 0xC0) != 0x80
+            chars, before = np.append(np.flatnonzero(lead), len(part)), np.concatenate([[0], np.cumsum(lead)])
+            long = stops - starts > UNIT
+            pieces = np.where(long, before[stops] - before[starts], 1)
             first = np.cumsum(pieces) - pieces
             which = np.repeat(np.arange(len(starts)), pieces)
-            at = starts[which] + (np.arange(len(which)) - first[which]) * UNIT
-            starts, stops = at, np.minimum(at + UNIT, stops[which])
+            char = before[starts][which] + np.arange(len(which)) - first[which]
+            starts, stops = np.where(long[which], chars[char], starts[which]), np.where(long[which], chars[char + 1], stops[which])
             rows = np.append(first, len(which))[rows]
         h = textops.word_hashes(part, starts, stops)
         for i in range(hi - lo):

@@ -85,7 +85,8 @@ def ranges(offsets: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int]]:
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", minimum: int = 0, folder: str | None = None) -> DataFrame:
     """Writes a record per row and returns the index (INDEX), itself a table in the shared folder.
 
-    Of records with equal payloads of at least `minimum` bytes the one with the largest id is a response and the
+    Payloads are equal when their SHA-256 is; SHA-1, which can be made to collide, is only the format's digest. Of records with
+    equal payloads of at least `minimum` bytes the one with the largest id is a response and the
     others revisit it; smaller ones are all responses. Null html is an empty payload, a null url an empty one. Rows
     whose id equals the response's id are responses too; where all ids of a payload are null, all are responses.
     """
@@ -93,10 +94,10 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     folder = folder or new_path(spark, "warc")
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
-    digests = base.where(F.octet_length("payload") >= minimum).select("page_id", F.sha1("payload").alias("sha1"))
+    digests = base.where(F.octet_length("payload") >= minimum).select("page_id", F.sha2("payload", 256).alias("same"))
     # only payloads that occur again; written first, so that Spark knows its size and broadcasts it only if small
-    again = materialize(digests.groupBy("sha1").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha1", "first"), "payloads")
-    rows = base.withColumn("sha1", F.sha1("payload")).join(again, "sha1", "left").select("page_id", "url", "payload", "first")
+    again = materialize(digests.groupBy("same").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "first"), "payloads")
+    rows = base.withColumn("same", F.sha2("payload", 256)).join(again, "same", "left").select("page_id", "url", "payload", "first")
 
     def write(batches):
         fs, root = write_bytes_fs(folder)

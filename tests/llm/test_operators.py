@@ -527,6 +527,42 @@ def test_lz_fingerprint(docs, rows, empty, odd, spark):
     assert lz_fingerprint.fingerprints(empty).count() == 0 and lz_fingerprint.fingerprints(odd).count() == 7
 
 
+def test_lz_fingerprint_by_definition():
+    """Against an LZ78 parse of tuples of units, and unspaced text that is shifted by one character."""
+    def units(t):
+        raw = [w for w in WORD.findall(t)] or [t]
+        return [u for w in raw for u in (w if len(w.encode()) > lz_fingerprint.UNIT else [w])]
+
+    rng = random.Random(9)
+    for t in ("a b a b a b a", "", " ", "x" * 50, "a " * 40, "".join(chr(0x4E00 + rng.randrange(60)) for _ in range(200)) + " b b"):
+        phrases, now = set(), ()
+        for u in units(t):
+            now += (u,)
+            if now not in phrases:
+                phrases.add(now)
+                now = ()
+        _, fresh = lz_fingerprint.parse(lz_fingerprint.units([t])[0].tolist(), set())
+        assert len(fresh) == len(phrases)
+    chinese = "".join(chr(0x4E00 + rng.randrange(800)) for _ in range(3000))
+    likeness = lambda a, b: np.mean([x == y for x, y in zip(a, b)])
+    slots = lambda t: (f := lz_fingerprint.to_text(lz_fingerprint.fingerprint(t))) and [f[i : i + 4] for i in range(0, len(f), 4)]
+    assert likeness(slots(chinese), slots("中" + chinese)) > 0.3 > likeness(slots(chinese), slots(chinese[::-1]))
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Null ids, repeated rows, no labels and no rows go through every stage; one of each group of copies stays."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    t, u = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(None, t), (None, t), (5, u), (5, u), (6, u.upper()), (7, None), (8, ""), (9, u + " end")]
+    now = spark.createDataFrame([(i, x, None, "s", 1) for i, x in rows], SCHEMA)
+    none = now.limit(0)
+    for name, stage in pipeline.STAGES[:-1]:
+        now, none = stage(spark, now, "").cache(), stage(spark, none, "")
+        assert now.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ") and none.count() == 0, name
+    texts = [r.text for r in now.collect()]
+    assert sum(x == t for x in texts) == 1 and sum(x is not None and x.lower().startswith("v0") for x in texts) == 1
+
+
 def test_lz_parts(docs, rows, monkeypatch):
     want = {r.doc_id: tuple(r) for r in lz_fingerprint.fingerprints(docs).collect()}
     monkeypatch.setattr(lz_fingerprint, "PART_ROWS", 9)
