@@ -17,8 +17,11 @@ SHINGLE, SIMILARITY, DISTANCE = 5, 0.8, 10
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that language ID rejects."""
-    known = langid.identify(docs, langid.fit(docs), keep_columns=True)
+    """Drops the documents that language ID rejects; none where no row has a label to learn from."""
+    model = langid.fit(docs)
+    if model is None:
+        return docs
+    known = langid.identify(docs, model, keep_columns=True)
     return known.where("not rejected").select(*docs.columns)
 
 
