@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curaspark.functions import text
-from curaspark.operators import status
+from curaspark.operators import evidence, status
 from curaspark.plans.binding import CANDIDATES, SCORED, URLS, candidates, scored
 from curaspark.sources.tables import table
 
@@ -214,3 +214,21 @@ def run_parity(spark, d):
 def manual_decisions(spark, d):
     x = table(spark, d, "documents").select("doc_id", F.col("source").alias("item_id"))
     return x.where("doc_id % 3 = 0").unionByName(x.where("doc_id % 2 = 0")).distinct()
+
+
+@query(f"""WITH {URLS}, i AS (SELECT page_id AS item_id, h AS ih, s || '|' || n || '|' || regexp_replace(p, '/+$', '') || '|' || q AS k, page_id % 3 AS shop, lower(regexp_replace(split_part(h, '.', 1), '[^a-zA-Z0-9]', '', 'g')) AS nm FROM uu),
+c AS (SELECT page_id, (page_id // 3) * 3 AS item_id, h, s || '|' || n || '|' || regexp_replace(p, '/+$', '') || '|' || q AS k, page_id % 4 = 1 AS direct, CASE WHEN page_id % 5 = 0 THEN page_id % 3 END AS shop, lower(regexp_replace(s || n || p || q || f, '[^a-zA-Z0-9]', '', 'g')) AS ev FROM uu),
+j AS (SELECT c.*, i.ih, i.k AS ik, i.shop AS ishop, i.nm, i.item_id IS NOT NULL AS has FROM c LEFT JOIN i ON c.item_id = i.item_id),
+e AS (SELECT *, coalesce(k = ik, false) AS linked, coalesce(h = ih OR ends_with(h, '.' || ih) OR ends_with(ih, '.' || h), false) AS dom, has AND len(nm) >= 2 AND contains(ev, nm) AS hit FROM j)
+SELECT page_id, CASE WHEN has AND shop IS NOT NULL AND shop <> ishop THEN false WHEN has AND shop IS NOT NULL THEN true WHEN direct AND linked THEN true WHEN hit THEN true END AS match,
+CASE WHEN has AND shop IS NOT NULL AND shop <> ishop THEN 1.0::DOUBLE WHEN has AND shop IS NOT NULL THEN 0.98::DOUBLE WHEN direct AND linked THEN 0.9::DOUBLE WHEN hit AND dom THEN 0.92::DOUBLE WHEN hit THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END AS confidence, linked AS source_linked, dom AS official_domain FROM e""")
+def entity_evidence(spark, d):
+    from curaspark.functions import urls
+
+    p, u, i = table(spark, d, "pages"), F.col("url"), F.col("page_id")
+    shop = F.concat(F.lit("appid="), (i % 3).cast("string"))
+    items = p.select(i.alias("item_id"), F.array(F.split_part(urls.host(u), F.lit("."), F.lit(1))).alias("names"), F.array("url").alias("addresses"), F.array(shop).alias("keywords"))
+    c = p.select("page_id", (F.floor(i / 3) * 3).cast("long").alias("item_id"), F.lit("").alias("image_url"), u.alias("source_url"), F.when(i % 4 == 1, "direct_image").otherwise("official_site").alias("source_type"), F.array().cast("array<string>").alias("chain"), F.array(F.when(i % 5 == 0, shop)).alias("words"))
+    # a page's own words are its address only here
+    c = c.withColumn("words", F.filter("words", lambda x: x.isNotNull()))
+    return evidence.entity_evidence(c, items).select("page_id", "match", "confidence", "source_linked", "official_domain")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,12 +67,32 @@ def deliver(stream: DataFrame, sink: Callable[[DataFrame, int], None], failures:
             sink(batch, number)
         except Exception as e:
             failures.append(f"batch {number}: {type(e).__name__}")
+            batch.write.mode("overwrite").parquet(f"{checkpoint}/failed/batch={number}")  # its rows, to be delivered again
 
     return stream.writeStream.outputMode(mode).foreachBatch(safe).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def shared_folder(spark, name: str) -> str:
+    """A new folder that the driver and the executors share: under spark.checkpoint.dir, which only a local session may leave unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "/tmp/checkpoints/curaspark"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there and returns its in-memory table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over all that is there and returns its output, a table in the shared folder.
+
+    Each batch has a folder of its own, which a repeated batch overwrites; in complete mode the last batch is the output.
+    """
+    spark = stream.sparkSession
+    folder = shared_folder(spark, name)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/out/batch=-1")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={0 if mode == 'complete' else number}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*stream.columns)

@@ -117,3 +117,11 @@ def test_store_screenshots(spark):
 
     props = '{"screenshots":[{"full":"a?t=1","standard":"b"},{"standard":"c"},{"thumbnail":"d"},{"full":"a?t=2"}]}'
     assert spark.range(1).select(collection.store_screenshots(F.lit(props)).alias("x")).first().x == ["a", "c", "d"]
+
+
+def test_names_and_parents(spark):
+    from curaspark.operators import evidence
+
+    row = spark.createDataFrame([(["甲乙丙丁 Chapter 2", " ", "Chapter 3 Silent Road"], "《白》 and [Black] 更新")], "g array<string>, t string")
+    got = row.select(evidence.names_of(F.col("g"), F.col("t")).alias("n")).first().n
+    assert got == ["甲乙丙丁 Chapter 2", "Chapter 3 Silent Road", "白", "Black", "甲乙丙丁", "Silent Road"]
