@@ -38,10 +38,10 @@ from curaspark.llm.storage import drop, materialize, new_path
 
 SWEEPS, SAMPLES, MOVES = 3, 2, 2
 #: Parts in which texts are sent to be scored: the disk that the rows take on their way is that of one part.
-PARTS = 2
+PARTS = 3
 FOLD = 1
 #: Bytes of text that are counted or sent at once, and tokens of a bucket.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET_TOKENS, LEAST_TOKENS = 2_000_000, 250_000
 #: Previous words of more than one in HOT tokens are frequent: there are fewer than HOT of them.
 HOT = 1 << 16
