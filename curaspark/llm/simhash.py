@@ -263,7 +263,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
 
 
 #: Bins of a set's sketch, the least set that it is used for, and the share of equal bins under which a pair is no near copy.
-#: Of a pair of similarity 0.8 fewer are equal with a chance of 1e-11.
+#: Of a pair of similarity 0.8 fewer are equal with a chance of about 1e-9 (64 bins, binomial).
 BINS, SKETCHED, EQUAL = 64, 256, 0.45
 
 
