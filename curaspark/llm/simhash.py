@@ -262,18 +262,20 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, grams array<long>")
 
 
-#: Bins of a set's sketch, the least set that it is used for, and the share of equal bins under which a pair is no near copy.
+#: Bytes of a set's sketch, the least set with one of minimum hashes, and the share of equal ones under which a pair is no near copy.
 #: Of a pair of similarity 0.8 fewer are equal with a chance of about 1e-9 (64 bins, binomial).
 BINS, SKETCHED, EQUAL = 64, 256, 0.45
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """One-permutation minimum hashes of a set in BINS bins of one byte; zero: an empty bin."""
+    """BINS bytes of a set. SKETCHED hashes or more: one-permutation minimum hashes, a byte a bin; zero: an empty bin. Fewer: a
+    bitmap in which each hash flips one bit, so two sets differ in at least as many hashes as their bitmaps in bits."""
+    if len(h) < SKETCHED:
+        return np.packbits(np.bincount((h & np.uint64(8 * BINS - 1)).astype(np.int64), minlength=8 * BINS) & 1).tobytes()
     out = np.zeros(BINS, np.uint8)
-    if len(h):
-        bins = (h >> np.uint64(58)).astype(np.int64)  # rises: h is sorted
-        first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
-        out[bins[first]] = (textops.mix(h[first]) % np.uint64(255)).astype(np.uint8) + 1
+    bins = (h >> np.uint64(58)).astype(np.int64)  # rises: h is sorted
+    first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
+    out[bins[first]] = (textops.mix(h[first]) % np.uint64(255)).astype(np.uint8) + 1
     return out.tobytes()
 
 
@@ -343,21 +345,25 @@ def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def promising(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets' sizes, and sketches of large sets, allow the similarity: only their sets are moved and compared."""
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.when(F.col("n") >= SKETCHED, F.col("sketch")).alias(f"s{c}"))
+    """The pairs (u, v) whose sets' sizes and sketches allow the similarity: only their sets are moved and compared.
+
+    Bitmaps lose no pair; minimum hashes one of similarity 0.8 with the chance given above. Pairs with one of each are kept.
+    """
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v").where(F.least("nu", "nv") >= F.lit(similarity - 1e-9) * F.greatest("nu", "nv"))
 
     def run(batches):
         for batch in batches:
-            known = batch.column(2).is_valid().to_numpy(zero_copy_only=False) & batch.column(3).is_valid().to_numpy(zero_copy_only=False)
-            ok = ~known
-            at = pa.array(np.flatnonzero(known))
-            a, b = (np.frombuffer(b"".join(batch.column(i).take(at).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
+            nu, nv = (batch.column(i).to_numpy() for i in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
             some = (a > 0) & (b > 0)
-            ok[known] = ((a == b) & some).sum(axis=1) >= EQUAL * some.sum(axis=1)
-            yield batch.select(["u", "v"]).filter(pa.array(ok))
+            alike = ((a == b) & some).sum(axis=1) >= EQUAL * some.sum(axis=1)
+            apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            close = apart <= (nu.astype(np.int64) + nv) * (1 - similarity) / (1 + similarity) + 1e-6
+            small, large = np.maximum(nu, nv) < SKETCHED, np.minimum(nu, nv) >= SKETCHED
+            yield batch.select(["u", "v"]).filter(pa.array(np.where(small, close, np.where(large, alike, True))))
 
-    return both.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long")
 
 
 def similar(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, table=materialize) -> DataFrame:
