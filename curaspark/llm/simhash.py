@@ -306,8 +306,8 @@ def nodes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity:
 def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 10, similarity: float = 0.8) -> DataFrame:
     """(node, root) of near copies: all that links of shingle sets with a Jaccard similarity of `similarity` or more join.
 
-    Nodes are the distinct shingle sets. SimHash links of up to `distance` bits, verified, join most near copies; then every
-    pair of sets that prefix filtering leaves is verified, but those in one group by verified links.
+    Nodes are the distinct shingle sets. SimHash links of up to `distance` bits, the closest of each set, verified, join most near
+    copies; then every pair of sets that prefix filtering leaves is verified, but those in one group by verified links.
     Every id but the smallest of its group has a row. Ids must be unique; null ids are in no group.
     """
     docs = docs.where(F.col(id_col).isNotNull())
@@ -329,15 +329,27 @@ def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = near_links(distinct, distance, 2).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     name = lambda c: distinct.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_id"))
     other = links.join(name("u"), "u").join(name("v"), "v").select(F.greatest("u_id", "v_id").alias("u"), F.least("u_id", "v_id").alias("v"))
-    tried = table(promising(same.unionByName(other), single, similarity), "pairs")
+    closest = lambda pairs: pairs.groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("v"))
+    tried = table(closest(promising(same.unionByName(other), single, similarity)), "pairs")
     kept = table(twins.unionByName(similar(docs, tried, id_col, text_col, shingle, similarity, table)), "kept")
 
     rows = table(set_join.postings(single), "postings")
-    for hub in (True, False):  # links to one set of each bucket first: what they join needs no other comparison
-        found = set_join.candidates(rows, components(kept), similarity, hub).join(tried, ["u", "v"], "left_anti")
-        found = table(promising(found, single, similarity), "pairs")
-        kept = table(kept.unionByName(similar(docs, found, id_col, text_col, shingle, similarity, table)), "kept")
-        tried = tried.unionByName(found)
+
+    def more(pairs: DataFrame) -> DataFrame:
+        return table(kept.unionByName(similar(docs, pairs, id_col, text_col, shingle, similarity, table)), "kept")
+
+    def untried(hub: bool) -> DataFrame:
+        return table(promising(set_join.candidates(rows, components(kept), similarity, hub).join(tried, ["u", "v"], "left_anti"), single, similarity), "pairs")
+
+    found = untried(True).select("u", "v")  # links to one set of each bucket first: what they join needs no other comparison
+    kept, tried = more(found), tried.unionByName(found)
+    found = untried(False)
+    first = table(closest(found), "closest")  # for the same reason
+    kept = more(first)
+    root = components(kept)
+    side = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    rest = found.select("u", "v").join(first, ["u", "v"], "left_anti").join(side("u"), "u", "left").join(side("v"), "v", "left")
+    kept = more(rest.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"))
     groups = components(kept)  # a table of its own
     for path in made:
         drop(docs.sparkSession, path)
@@ -345,7 +357,8 @@ def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def promising(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets' sizes and sketches allow the similarity: only their sets are moved and compared.
+    """(u, v, far) of the pairs whose sets' sizes and sketches allow the similarity: only their sets are moved and compared.
+    far: how unlike the sketches are.
 
     Bitmaps lose no pair; minimum hashes one of similarity 0.8 with the chance given above. Pairs with one of each are kept.
     """
@@ -361,9 +374,11 @@ def promising(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
             close = apart <= (nu.astype(np.int64) + nv) * (1 - similarity) / (1 + similarity) + 1e-6
             small, large = np.maximum(nu, nv) < SKETCHED, np.minimum(nu, nv) >= SKETCHED
-            yield batch.select(["u", "v"]).filter(pa.array(np.where(small, close, np.where(large, alike, True))))
+            ok = np.where(small, close, np.where(large, alike, True))
+            far = np.where(small, apart / np.maximum(nu + nv, 1), np.where(large, (a != b).mean(axis=1), 1.0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far)], names=["u", "v", "far"]).filter(pa.array(ok))
 
-    return both.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long, far double")
 
 
 def similar(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, table=materialize) -> DataFrame:
