@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curaspark.llm import bpe, exact_dedup, langid, lm, lz_fingerprint, packing, simhash, substring_dedup, token_counts, warc
+from curaspark.llm import bpe, exact_dedup, langid, lm, lz_fingerprint, packing, simhash, substring_dedup, token_counts, vantage_points, vector_codes, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -63,6 +63,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("url").alias("target_uri"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage_points.nearest(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_byte_bpe": op2_byte_bpe,
@@ -74,8 +82,11 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_lz_fingerprint": op9_lz_fingerprint,
     "op10_warc": op10_warc,
+    "op11_nearest": op11_nearest,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }
