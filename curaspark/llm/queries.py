@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curaspark.llm import bpe, exact_dedup, langid, lm, lz_fingerprint, packing, simhash, substring_dedup, token_counts, vantage_points, vector_codes, warc
+from curaspark.llm import bpe, exact_dedup, langid, lm, lz_fingerprint, packing, ranked_search, simhash, substring_dedup, token_counts, vantage_points, vector_codes, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -67,6 +67,10 @@ def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vantage_points.nearest(_read(spark, sf_dir, "embeddings"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(_read(spark, sf_dir, "embeddings"))
 
@@ -83,10 +87,12 @@ QUERIES = {
     "op9_lz_fingerprint": op9_lz_fingerprint,
     "op10_warc": op10_warc,
     "op11_nearest": op11_nearest,
+    "op12_ranked_search": op12_ranked_search,
     "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op12_ranked_search": ranked_search.ORACLE,
     "op13_vector_codes": vector_codes.ORACLE,
 }

@@ -54,9 +54,9 @@ def chunks(off: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
-def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words in raw, and n+1 offsets into them by row. off starts at 0."""
-    solid = ~WHITE[raw]
+def words(raw: np.ndarray, off: np.ndarray, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words in raw, and n+1 offsets into them by row. off starts at 0; white: the bytes between words."""
+    solid = ~white[raw]
     n = len(raw)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
