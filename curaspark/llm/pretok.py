@@ -10,9 +10,9 @@ the states before and after a codepoint say so.
 from __future__ import annotations
 
 import sys
-import unicodedata
 
 import numpy as np
+import tiktoken
 
 #: White space as Unicode defines it.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -93,11 +93,20 @@ RULE = np.array([[starts_token(s, c) for c in range(CLASSES)] for s in range(STA
 _table: np.ndarray | None = None
 
 
+def members(pattern: str) -> np.ndarray:
+    """The codepoints that the library counts to a class: of a text of all codepoints it encodes those that match, as bytes."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
+    found = tiktoken.Encoding(pattern, pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={}).encode_ordinary(every)
+    return np.frombuffer(bytes(found).decode().encode("utf-32-le"), np.uint32)
+
+
 def class_table() -> np.ndarray:
+    """The class of every codepoint, by the Unicode version of the library (newer than Python's own)."""
     global _table
     if _table is None:
-        kinds = {"L": LETTER, "N": NUMBER}
-        table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+        table = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+        table[members(r"\p{L}+")] = LETTER
+        table[members(r"\p{N}+")] = NUMBER
         table[SPACES] = BLANK
         table[0x20] = SPACE
         table[ord("'")] = APOSTROPHE

@@ -104,6 +104,28 @@ def test_pretokenisation_and_bpe_equal_the_library():
     assert token_counts.Counter(path).count(raw, off).tolist() == [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
+def test_every_code_point_is_read_as_the_libraries_do():
+    """Beside letters, digits, blanks, punctuation and code points of other classes."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    points = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x110000)]]
+    order = random.Random(2).sample(points, len(points))
+    texts = ["".join(f"a{c}1 {c}{d}'{c}s" for c, d in zip(points[i : i + 2000], order[i : i + 2000])) for i in range(0, len(points), 2000)]
+    texts += ["\U00013514\ubddb", "\U000134b6\u6508"]
+    raw, off = textops.buffers(pa.array(texts))
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    enc = bpe.encoder(path)
+    counter, library = token_counts.Counter(public_tokenizers.path("byte_bpe_50k.json")), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for lo, hi in textops.chunks(off):
+        part, own = texts[lo:hi], (raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(*own)] == [lib.encode_ordinary(t) for t in part]
+        assert counter.count(*own).tolist() == [len(e.ids) for e in library.encode_batch(part, add_special_tokens=False)]
+    assert sorted(pretok.members(r"\s+").tolist()) == pretok.SPACES
+
+
 def test_a_full_cache_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "SLOTS", 16)
     monkeypatch.setattr(bpe, "ARENA", 64)
