@@ -21,6 +21,7 @@ null item ids and items without a known term give no rows. Extra columns are ign
 
 from __future__ import annotations
 
+import heapq
 import math
 from typing import NamedTuple
 
@@ -35,7 +36,7 @@ from curaspark.llm import textops
 from curaspark.llm.storage import drop, materialize, new_path
 
 #: Bytes of text of a shard. Lists of up to SHORT postings are in tier 0 whole; of longer ones tier t has this share, at least SHORT.
-SHARD_BYTES, SHORT, SHARES = 4 << 20, 64, (1 / 16, 1 / 4, 1.0)
+SHARD_BYTES, SHORT, SHARES = 1 << 20, 64, (1 / 16, 1 / 4, 1.0)
 #: (item, term) rows that a block of items has about; what tasks get of the items grows with a block, not with all items.
 BLOCK_ROWS = 1 << 18
 
@@ -188,7 +189,8 @@ def frequencies(index: DataFrame, terms: pa.Array) -> np.ndarray:
 
 
 def _answers(terms: pa.Array, items: dict[int, tuple[np.ndarray, np.ndarray]], least: dict[int, int], tiers: int, k: int):
-    """A task of a step: FOUND rows of the shards for these items, whose terms have the given weights."""
+    """A task of a step, for these items whose terms have the given weights: the k best exact and the k best other sums of an
+    item over the shards of the task, and the largest upper bound of those that are not done with it."""
 
     def shard(batch: pa.RecordBatch, i: int):
         ids = batch.column("ids")[i].values
@@ -227,17 +229,23 @@ def _answers(terms: pa.Array, items: dict[int, tuple[np.ndarray, np.ndarray]], l
             best = np.flatnonzero(sums > 0)
             if len(best) > k:
                 best = best[sums[best] >= np.partition(sums[best], len(best) - k)[len(best) - k]]
-            best = best[np.lexsort((ids[0][best], ids[1][best], -sums[best]))][:k]
-            for d in best.tolist():
-                yield item, None if ids[1][d] else int(ids[0][d]), int(sums[d]), upper is None, None
-            if upper is not None:
-                yield item, None, None, None, upper
+            rows = [(-int(sums[d]), bool(ids[1][d]), int(ids[0][d])) for d in best.tolist()]
+            yield item, rows, upper
 
     def run(batches):
+        best: dict[tuple[int, bool], list] = {}
+        uppers: dict[int, int] = {}
         for batch in batches:
-            rows = [r for i in range(batch.num_rows) for r in shard(batch, i)]
-            for lo in range(0, len(rows), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[lo : lo + 10_000], strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], names=["item", "doc_id", "score", "exact", "upper"])
+            for i in range(batch.num_rows):
+                for item, rows, upper in shard(batch, i):
+                    key = item, upper is None
+                    best[key] = heapq.nsmallest(k, best.get(key, []) + rows)
+                    if upper is not None:
+                        uppers[item] = max(upper, uppers.get(item, 0))
+        rows = [(item, None if none else doc, -score, exact, None) for (item, exact), own in best.items() for score, none, doc in own]
+        rows += [(item, None, None, None, upper) for item, upper in uppers.items()]
+        for lo in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[lo : lo + 10_000], strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], names=["item", "doc_id", "score", "exact", "upper"])
 
     return run
 
