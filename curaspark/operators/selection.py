@@ -109,7 +109,8 @@ def leaders(rows: DataFrame, group: str, key: str, order: str, parts: list[str],
 def allocate(scored: DataFrame, limits: dict | None = None, cap: int | None = None, minimum: float | None = None) -> DataFrame:
     """Adds selected and slot: type limits and the cap of each item, as two stacked windows.
 
-    X photos have no type limit, localized screenshots the item's cap. Where an item has a candidate that is no
+    X photos come first and have no type limit, but count towards that of their type's other candidates; localized
+    screenshots have the item's cap. Where an item has a candidate that is no
     fallback, its fallbacks are out. Rows with auto_select false, a type limit of 0 or a total under the minimum never count.
     """
     s = config.DEFAULTS["selection"]
@@ -122,7 +123,7 @@ def allocate(scored: DataFrame, limits: dict | None = None, cap: int | None = No
     out = scored.withColumn("eligible", eligible)
     preferred = F.max(F.col("eligible") & ~F.col("fallback_only")).over(item)
     out = out.withColumn("in_play", F.col("eligible") & (~F.col("fallback_only") | ~preferred))
-    out = out.withColumn("type_rank", F.row_number().over(Window.partitionBy("item_id", "image_type", "in_play", "x_photo").orderBy(*order)))
+    out = out.withColumn("type_rank", F.row_number().over(Window.partitionBy("item_id", "image_type", "in_play").orderBy(*order)))
     out = out.withColumn("within", F.col("in_play") & (F.col("x_photo") | (F.col("type_rank") <= limit)))
     out = out.withColumn("slot", F.row_number().over(Window.partitionBy("item_id", "within").orderBy(*order)))
     return out.withColumn("selected", F.col("within") & (F.col("slot") <= cap)).drop("eligible", "in_play", "type_rank", "within")

@@ -61,7 +61,7 @@ ALLOCATED = (
 lim AS (SELECT *, CASE WHEN x_photo THEN 20 WHEN localized AND image_type = 'gameplay_screenshot' THEN 20 WHEN image_type = 'game_cg' THEN 20 WHEN image_type = 'gameplay_screenshot' THEN 10 WHEN image_type = 'key_visual' THEN 1 WHEN image_type = 'character_art' THEN 4 ELSE 0 END AS lim FROM scored),
 el AS (SELECT *, auto_select AND lim > 0 AS eligible FROM lim),
 pl AS (SELECT *, eligible AND (NOT fallback_only OR NOT max(eligible AND NOT fallback_only) OVER (PARTITION BY item_id)) AS in_play FROM el),
-tr AS (SELECT *, row_number() OVER (PARTITION BY item_id, image_type, in_play, x_photo ORDER BY x_photo DESC, localized DESC, image_type = 'background_art', total DESC, trust DESC, width::BIGINT * height DESC, candidate_id) AS type_rank FROM pl),
+tr AS (SELECT *, row_number() OVER (PARTITION BY item_id, image_type, in_play ORDER BY x_photo DESC, localized DESC, image_type = 'background_art', total DESC, trust DESC, width::BIGINT * height DESC, candidate_id) AS type_rank FROM pl),
 wi AS (SELECT *, in_play AND (x_photo OR type_rank <= lim) AS within FROM tr),
 sl AS (SELECT *, row_number() OVER (PARTITION BY item_id, within ORDER BY x_photo DESC, localized DESC, image_type = 'background_art', total DESC, trust DESC, width::BIGINT * height DESC, candidate_id) AS slot FROM wi),
 alloc AS (SELECT *, within AND slot <= 20 AS selected FROM sl)"""

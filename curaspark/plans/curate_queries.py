@@ -71,7 +71,7 @@ v AS (SELECT *, CASE WHEN kept THEN nullif(CASE WHEN auto THEN la ELSE lk END, i
 p AS (SELECT *, CASE WHEN x OR loc AND t = 'gameplay_screenshot' THEN 20 ELSE CASE t WHEN 'game_cg' THEN 20 WHEN 'gameplay_screenshot' THEN 10 WHEN 'key_visual' THEN 1 WHEN 'character_art' THEN 4 ELSE 0 END END AS lim FROM v),
 q AS (SELECT *, auto AND dup IS NULL AND lim > 0 AS may FROM p),
 q2 AS (SELECT *, may AND (NOT fb OR NOT bool_or(may AND NOT fb) OVER (PARTITION BY item_id)) AS play FROM q),
-q3 AS (SELECT *, play AND (x OR row_number() OVER (PARTITION BY item_id, t, play, x ORDER BY loc DESC, total DESC NULLS LAST, trust DESC, w::BIGINT * h DESC, i) <= lim) AS within_ FROM q2),
+q3 AS (SELECT *, play AND (x OR row_number() OVER (PARTITION BY item_id, t, play ORDER BY x DESC, loc DESC, total DESC NULLS LAST, trust DESC, w::BIGINT * h DESC, i) <= lim) AS within_ FROM q2),
 q4 AS (SELECT *, within_ AND row_number() OVER (PARTITION BY item_id, within_ ORDER BY x DESC, loc DESC, total DESC NULLS LAST, trust DESC, w::BIGINT * h DESC, i) <= 20 AS sel FROM q3),
 q5 AS (SELECT *, sum(sel::INT) OVER (PARTITION BY item_id) >= 20 AS filled FROM q4)
 SELECT item_id, i AS candidate_id, CASE WHEN inv THEN 'invalid' WHEN NOT kept THEN 'filtered' WHEN sel THEN 'selected' ELSE 'unselected' END AS status, total, dup AS duplicate_of,

@@ -47,11 +47,17 @@ def test_allocation_equals_the_greedy_loop(spark):
         for r in group:
             if len(taken) < 7 and by.get(r[2], 0) < limit(r):
                 taken.append(r[1])
-                by[r[2]] = by.get(r[2], 0) + (not r[3])
+                by[r[2]] = by.get(r[2], 0) + 1
         want |= set(taken)
     assert got == want
 
 
+def test_an_x_photo_takes_the_place_of_its_type(spark):
+    rows = [("i", "a", "key_visual", True, True, False, False, 10.0, 0.5, 9, 9), ("i", "b", "key_visual", False, True, False, False, 90.0, 0.5, 9, 9), ("i", "c", "key_visual", True, True, False, False, 5.0, 0.5, 9, 9)]
+    df = spark.createDataFrame(rows, "item_id string, candidate_id string, image_type string, x_photo boolean, auto_select boolean, fallback_only boolean, localized boolean, total double, trust double, width int, height int")
+    assert {r.candidate_id for r in selection.allocate(df).where("selected").collect()} == {"a", "c"}
+
+
 def test_classifiers(spark):
     def kind(local="", alt="", stem="", role=None, aspect=1.7, gallery=False, strong=False):
         f = F.lit
