@@ -33,13 +33,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curaspark.llm import textops
-from curaspark.llm.storage import drop, materialize, new_path
+from curaspark.llm.storage import drop, materialize, new_path, settings
 
 #: Bytes of text of a shard. Lists of up to SHORT postings are in tier 0 whole; of longer ones tier t has this share, at least SHORT.
 SHARD_BYTES, SHORT, SHARES = 1 << 20, 64, (1 / 16, 1 / 4, 1.0)
 #: (item, term) rows that a block of items has about; what tasks get of the items grows with a block, not with all items.
 BLOCK_ROWS = 1 << 18
 
+#: Index rows that are read and handed to Python at once: their arrays are megabytes.
+FEW_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4", "spark.sql.parquet.columnarReaderBatchSize": "8"}
+
 #: Bytes that end a term.
 BETWEEN = np.zeros(256, bool)
 BETWEEN[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
@@ -297,7 +300,8 @@ def search(index: DataFrame, items: DataFrame, k: int = 10, id_col: str = "item_
     for b in range(blocks):
         rows = terms.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()
         if rows:
-            parts += _search_block(index, _block(rows), having, k)
+            with settings(spark, FEW_ROWS):
+                parts += _search_block(index, _block(rows), having, k)
     found = spark.createDataFrame([], FOUND)
     for part in parts:
         found = found.unionByName(part)

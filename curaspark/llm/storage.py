@@ -42,6 +42,19 @@ def cleaned_up(spark: SparkSession):
         spark.conf.set(CLEAN_UP, before)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Spark settings for the queries that run inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and the optimiser sees true sizes."""
     spark = df.sparkSession
