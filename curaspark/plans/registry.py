@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from curaspark.plans import collection_queries, curate_queries, selection_queries, status_queries, table_queries
+from curaspark.plans import collection_queries, curate_queries, near_queries, selection_queries, status_queries, table_queries
 
-QUERIES: dict = selection_queries.QUERIES | table_queries.QUERIES | collection_queries.QUERIES | curate_queries.QUERIES | status_queries.QUERIES
-ORACLE_SQL: dict = selection_queries.ORACLE_SQL | table_queries.ORACLE_SQL | collection_queries.ORACLE_SQL | curate_queries.ORACLE_SQL | status_queries.ORACLE_SQL
+MODULES = [selection_queries, table_queries, collection_queries, curate_queries, status_queries, near_queries]
+QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

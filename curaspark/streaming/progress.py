@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curaspark.session import shared_folder
+
 EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -72,16 +73,6 @@ def deliver(stream: DataFrame, sink: Callable[[DataFrame, int], None], failures:
     return stream.writeStream.outputMode(mode).foreachBatch(safe).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def shared_folder(spark, name: str) -> str:
-    """A new folder that the driver and the executors share: under spark.checkpoint.dir, which only a local session may leave unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "/tmp/checkpoints/curaspark"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Runs a stream over all that is there and returns its output, a table in the shared folder.
 
