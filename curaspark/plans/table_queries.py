@@ -96,11 +96,6 @@ def link_targets(spark, d):
     return own.groupBy("link").agg(F.count(F.lit(1)).alias("n_pages"), F.min("page_id").alias("first_page"))
 
 
-@query()
-def page_images(spark, d):
-    """Images of pages with the role that their surroundings give them."""
-    return pages_source.images(table(spark, d, "pages")).select("page_id", "ordinal", "src", "alt", "role", "container")
-
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS src, 100 + o_custkey % 50 AS dst FROM customer JOIN orders ON c_custkey = o_custkey UNION SELECT DISTINCT 100 + o_custkey % 50, 1000 + o_orderkey % 200 FROM orders UNION SELECT DISTINCT 1000 + o_orderkey % 200, 5000 + o_orderkey % 1000 FROM orders),
 r AS (SELECT n_nationkey::BIGINT AS root FROM nation WHERE n_regionkey = 1),

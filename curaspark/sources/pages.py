@@ -1,33 +1,13 @@
-"""Web pages: links, titles, images and videos.
-
-Native patterns serve what a tag's own attributes say; image roles need the tags around an image, so they come from a
-streaming parser in an Arrow-batched UDF that never builds a tree.
-"""
+"""Web pages: links, titles and videos by native patterns; images and what surrounds them are in dom.py."""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curaspark.functions import urls
 
-IMAGE = "page_id long, ordinal int, src string, alt string, role string, method string, container string, nearby string"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-# Words of ids and classes that tell a container's role.
-ROLE_WORDS = [
-    ("decorative", ("related", "recommend", "sidebar", "breadcrumb")),
-    ("logo", ("logo",)),
-    ("character_art", ("character", "chara")),
-    ("cover", ("package", "jacket", "cover")),
-    ("banner", ("banner", "bnr")),
-    ("ui", ("icon", "btn", "button")),
-    ("goods", ("goods", "product", "item-card")),
-    ("game_cg", ("gallery", "eventcg", "event-cg")),
-]
-DECORATIVE_TAGS = {"header", "footer", "nav", "button", "h1", "h2", "h3"}
 
 
 def title(html: Column) -> Column:
@@ -66,59 +46,6 @@ def video_urls(html: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(found, urls.canonical_video)))
 
 
-class _Images(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str]] = []
-        self.found: list[dict] = []
-        self.text = ""
-
-    def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
-        words = f"{a.get('id', '')} {a.get('class', '')}".lower()
-        if tag == "img":
-            src = a.get("data-src") or a.get("src")
-            if src:
-                around = [(tag, f"{words} {a.get('alt', '').lower()}"), *reversed(self.open)]
-                self.found.append({"src": src, "alt": a.get("alt", ""), "role": _role(around), "container": " ".join(t for t, _ in self.open[-3:]), "nearby": " ".join(self.text.split())[-80:]})
-        elif tag not in VOID:
-            self.open.append((tag, words))
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
-
-    def handle_data(self, data):
-        self.text = (self.text + " " + data)[-400:]
-
-
-def _role(around: list[tuple[str, str]]) -> str | None:
-    for tag, words in around:
-        for role, marks in ROLE_WORDS:
-            if any(m in words for m in marks):
-                return role
-        if tag in DECORATIVE_TAGS:
-            return "decorative"
-    return None
-
-
-def images(pages: DataFrame) -> DataFrame:
-    """IMAGE rows: each <img> with the role that its own words and the tags around it give. Broken HTML gives what it has."""
-
-    def run(frames):
-        for pdf in frames:
-            rows = []
-            for page_id, html in zip(pdf["page_id"], pdf["html"], strict=True):
-                p = _Images()
-                p.feed(html or "")
-                rows += [(page_id, i, x["src"], x["alt"], x["role"], "dom", x["container"], x["nearby"]) for i, x in enumerate(p.found)]
-            yield pd.DataFrame(rows, columns=["page_id", "ordinal", "src", "alt", "role", "method", "container", "nearby"])
-
-    return pages.select("page_id", "html").mapInPandas(run, IMAGE)
-
-
 def gallery_literals(script: Column) -> Column:
     """Image paths of a gallery script's string literals; `prefix${n}suffix` templates run over Array.from lengths up to 500."""
     plain = F.regexp_extract_all(script, F.lit(r"""["']([^"'$`]+\.(?:jpg|jpeg|png|webp))["']"""), F.lit(1))

@@ -26,11 +26,9 @@ def test_document_entries(spark, tmp_path):
     assert got == [("7", 1, "新作", "Title one", "Ann", "body a\nbody b"), ("7", 2, "汉化", "Styled", None, "text")]
 
 
-def test_images_and_roles(spark):
-    html = '<title> T </title><header><img src="/h.png"></header><div class="gallery"><a href="/x"><img data-src="b.jpg" alt="one"></a></div><div id="goods"><img src="g.jpg"></div><p>near<img src="plain.jpg">'
+def test_links(spark):
+    html = '<title> T </title><div class="gallery"><a href="/x"></a></div>'
     df = spark.createDataFrame([(1, "https://a.example/dir/p.html", html), (2, "https://a.example/", None)], "page_id long, url string, html string")
-    got = [(r.src, r.role) for r in pages.images(df).orderBy("ordinal").collect()]
-    assert got == [("/h.png", "decorative"), ("b.jpg", "game_cg"), ("g.jpg", "goods"), ("plain.jpg", None)]
     assert pages.links(df).first().link == "https://a.example/x"
     assert df.select(pages.absolute(F.col("url"), F.lit("n.html")).alias("x")).first().x == "https://a.example/dir/n.html"
 
