@@ -102,11 +102,11 @@ class _Page(HTMLParser):
     def count(self, i: int, tag: str) -> int:
         return sum(self.tags[j][0] == tag for j in range(i + 1, self.until[i]))
 
-    def link(self, i: int, labels: dict[str, str]) -> dict:
+    def link(self, i: int, labels: dict[str, str], own: bool = False) -> dict:
         tag, a = self.tags[i]
         classes = a.get("class", "").split()
         words = " ".join([a.get("id", ""), *classes])
-        out = {"tag": tag, "words": words, "classes": classes, "selector": tag + (f"#{a['id']}" if a.get("id") else "") + "".join(f".{c}" for c in classes), "text": self.text(i) if words.strip() or tag in {*HEADINGS, *LOCAL_PARENTS, "button"} else ""}
+        out = {"tag": tag, "words": words, "classes": classes, "selector": tag + (f"#{a['id']}" if a.get("id") else "") + "".join(f".{c}" for c in classes), "text": self.text(i) if own or words.strip() or tag in {*HEADINGS, *LOCAL_PARENTS, "button"} else ""}
         opens = a.get("data-target") or a.get("data-bs-target") or a.get("data-modal") or re.search("gallery|thumb", " ".join(classes), re.I)
         out |= {"thumb": tag == "button" and bool(opens) and self.within(i, lambda t, _: t == "img") is not None, "label": labels.get(a.get("id", ""), ""), "card": False, "card_text": "", "card_item": ""}
         if CARD_CLASSES.search(" ".join(classes)) or a.get("itemtype", "").endswith("schema.org/Product"):
@@ -173,7 +173,7 @@ def _rows(page_id: int, html: str) -> list[dict]:
     for ordinal, (i, kind, raw, relationship) in enumerate(_references(page)):
         a = page.tags[i][1]
         own = " ".join([a.get("alt", ""), a.get("id", ""), *a.get("class", "").split()])
-        out.append({"page_id": page_id, "ordinal": ordinal, "kind": kind, "raw": raw, "relationship": relationship, "alt": a.get("alt", ""), "own": own, "item": a.get("data-index") or a.get("src") or "", "chain": [page.link(j, labels) for j in page.around(i)], "tabs": list(tabs.items()), "error": None})
+        out.append({"page_id": page_id, "ordinal": ordinal, "kind": kind, "raw": raw, "relationship": relationship, "alt": a.get("alt", ""), "own": own, "item": a.get("data-index") or a.get("src") or "", "chain": [page.link(j, labels, j == i) for j in page.around(i)], "tabs": list(tabs.items()), "error": None})
     return out
 
 
