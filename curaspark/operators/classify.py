@@ -28,17 +28,6 @@ DEFAULT_TRUST = {"official_site": 1.0, "official_x": 0.9, "steam": 0.85, "direct
 X_HOSTS = ["x.com", "twitter.com", "www.x.com", "www.twitter.com"]
 STEAM_HOSTS = ["store.steampowered.com", "steamcommunity.com"]
 VIDEO_HOSTS = ["youtube.com", "www.youtube.com", "youtu.be", "bilibili.com", "www.bilibili.com"]
-LOGO = ["logo", "brand-logo", "site-logo", "logo_mark"]
-BANNER = ["banner", "bnr", "header", "footer", "mainvisual-banner", "campaign-banner"]
-UI = ["button", "btn", "icon", "arrow", "menu", "navigation", "loading", "spinner", "favicon", "steam_share_image"]
-GOODS = ["goods", "shop", "store", "product", "item", "tokuten", "tapestry", "acrylic", "badge", "standee", "merchandise", "stand", "figure", "フィギュア", "手办", "手辦", "特典", "商品", "周边", "周邊"]
-COVER = ["cover", "package", "jacket", "box", "pkg", "capsule"]
-KEY_VISUAL = ["keyvisual", "key_visual", "mainvisual", "main_visual", "kv", "visual"]
-CHARACTER = ["character", "chara", "standing", "sprite", "tachie", "立绘", "立繪"]
-SCREENSHOT = ["screenshot", "screenshots", "screen", "sample", "play", "ingame", "in_game"]
-PHOTO = ["photo", "photograph", "realphoto", "cosplay", "照片", "写真", "实拍", "實拍"]
-ANNOUNCEMENT_ART = ["announcement", "commemorative", "celebration", "anniversary", "贺图", "賀圖", "纪念图", "紀念圖", "应援图", "應援圖", "倒计时图", "倒計時圖"]
-CG_STEM = r"^(?:ev(?:ent)?[_-]?)?cg[_-]?\d*|^gallery[_-]?\d+"
 PLACEHOLDERS = ["placeholder", "no_image", "noimage", "no-image", "now_printing", "nowprinting", "dummy", "blank", "spacer", "coming_soon", "comingsoon", "default_image", "loading", "transparent", "pixel"]
 
 
@@ -105,53 +94,6 @@ def trust_tier(kind: Column, source_url: Column, image_url: Column, page_officia
     )
 
 
-def image_type(local: Column, own_alt: Column, stem: Column, role: Column, official: Column, linked: Column, strong_cg: Column, gallery: Column, is_steam: Column, aspect: Column, gift_item: Column, everything: Column) -> Column:
-    """struct(image_type, confidence): the ordered rules over text near the image, its name, role and source.
-
-    local: lower-cased text of the image alone; everything: with its page's. role: the role that the image's own
-    page gives it, or null. Under the minimum confidence the type is unknown.
-    """
-    out = lambda t, c: F.struct((t if isinstance(t, Column) else F.lit(t)).alias("image_type"), (c if isinstance(c, Column) else F.lit(c)).cast("double").alias("confidence"))
-    wide = aspect >= config.DEFAULTS["image_types"]["banner_aspect_ratio"]
-    named = any_term(local, GOODS + COVER + KEY_VISUAL + CHARACTER + SCREENSHOT + ANNOUNCEMENT_ART) | F.regexp_like(stem, F.lit(CG_STEM))
-    cg = gallery | F.regexp_like(stem, F.lit(CG_STEM))
-    character, visual = any_term(local, CHARACTER), any_term(local, KEY_VISUAL)
-    shot = any_term(local, [t for t in SCREENSHOT if t not in ("sample", "play")])
-    game_cg = F.when(strong_cg, out("game_cg", 0.92)).otherwise(out("game_cg", 0.68))
-    found = rules(
-        (text.has_term(local, "steam_share_image"), out("ui", 1.0)),
-        (F.regexp_like(stem, F.lit(r"^(?:ogp|og[_-]?image|share[_-]?image|twitter[_-]?card)(?:$|[_-])")), out("ui", 0.98)),
-        (role == "decorative", out("decorative", 0.98)),
-        (F.regexp_like(own_alt, F.lit(r"\blogo\b|ロゴ|标志")), out("logo", 0.95)),
-        (F.regexp_like(own_alt, F.lit(r"\bbanner\b|バナー|横幅")), out("banner", 0.95)),
-        (F.regexp_like(own_alt, F.lit(r"standing\s+(?:sprite|art)|立绘|立繪")), out("character_art", 0.95)),
-        (role.isin("logo", "character_art", "cover", "banner", "ui"), out(role, 0.95)),
-        (role == "goods", out("goods", 0.96)),
-        ((role == "background_art") & official & linked, out("background_art", 0.92)),
-        (role == "background_art", out("unknown", 0.0)),
-        (role.isin("key_visual", "announcement_art", "gameplay_screenshot"), out(role, 0.95)),
-        (role == "game_cg", F.when(linked, out("game_cg", 0.92)).otherwise(out("game_cg", 0.68))),
-        (any_term(local, UI), out("ui", 0.98)),
-        (any_term(local, LOGO), out("logo", 0.98)),
-        (any_term(local, BANNER) | (wide & ~named), out("banner", F.when(wide, F.lit(0.98)).otherwise(F.lit(0.94)))),
-        (is_steam & any_term(everything, SCREENSHOT), out("gameplay_screenshot", 0.93)),
-        (any_term(local, GOODS), out("goods", 0.96)),
-        (any_term(local, COVER), out("cover", F.when(aspect < 1, F.lit(0.96)).otherwise(F.lit(0.91)))),
-        (shot, out("gameplay_screenshot", 0.93)),
-        (F.regexp_like(stem, F.lit(r"^(quiz|countdown)")), out("announcement_art", 0.92)),
-        (F.regexp_like(stem, F.lit(r"^chara?(cter)?[_-]?\d+")), out("character_art", 0.93)),
-        (any_term(everything, ANNOUNCEMENT_ART) & (gift_item | F.contains(everything, F.lit("announcement"))), out("announcement_art", 0.94)),
-        (cg & ~character & ~visual, game_cg),
-        (character, out("character_art", 0.90)),
-        (visual, out("key_visual", 0.92)),
-        (cg, out("game_cg", 0.68)),
-        (any_term(local, SCREENSHOT), out("gameplay_screenshot", 0.93)),
-        (any_term(local, PHOTO), out("photo", 0.90)),
-        otherwise=out("unknown", 0.0),
-    )
-    return F.when(found["confidence"] < config.DEFAULTS["image_types"]["minimum_type_confidence"], out("unknown", 0.0)).otherwise(found)
-
-
 def type_match(requirements: Column, kind: Column) -> Column:
     """The best score of a type over an array of requirements."""
     table = F.create_map(*[F.lit(x) for r, m in config.TYPE_MATCH.items() for t, s in m.items() for x in (f"{r}/{t}", s)])

@@ -58,23 +58,6 @@ def test_an_x_photo_takes_the_place_of_its_type(spark):
     assert {r.candidate_id for r in selection.allocate(df).where("selected").collect()} == {"a", "c"}
 
 
-def test_classifiers(spark):
-    def kind(local="", alt="", stem="", role=None, aspect=1.7, gallery=False, strong=False):
-        f = F.lit
-        c = classify.image_type(f(local), f(alt), f(stem), f(role).cast("string"), f(True), f(True), f(strong), f(gallery), f(False), f(aspect), f(False), f(local))
-        return tuple(spark.range(1).select(c.alias("x")).select("x.*").first())
-
-    assert kind(local="steam_share_image") == ("ui", 1.0)
-    assert kind(role="decorative", local="logo") == ("decorative", 0.98)
-    assert kind(local="site-logo.png") == ("logo", 0.98)
-    assert kind(aspect=4.0) == ("banner", 0.98)
-    assert kind(local="goods acrylic") == ("goods", 0.96)
-    assert kind(stem="cg01", strong=True) == ("game_cg", 0.92)
-    assert kind(stem="cg01") == ("game_cg", 0.68)
-    assert kind(local="screenshot 1") == ("gameplay_screenshot", 0.93)
-    assert kind() == ("unknown", 0.0)
-
-
 def test_native_size_bounds(spark):
     for w, h, ok in ((799, 720, False), (1280, 449, False), (600, 600, False), (800, 450, True)):
         assert spark.range(1).select(classify.native_size(F.lit(w), F.lit(h)).alias("x")).first().x is ok
