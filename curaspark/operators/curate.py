@@ -18,7 +18,7 @@ SELLING = r"周边|周邊|商品|グッズ|goods|shop|merchandise"
 NEW_CG = r"cg\s*(?:公开|公開|更新|追加|新增)|新\s*cg|(?:特殊)?(?:场景|場景|事件|イベント|シーン)\s*cg|画面公开|畫面公開|游戏截图公开|遊戲截圖公開|gallery\s*更新|ギャラリー更新"
 RELEASING = r"发售|発売|预约|預約|登陆steam|登录steam|上架steam|steam上线|steam上線"
 STRICT_TIERS = ["official_brand_page", "official_store"]
-WEAK_EVIDENCE = ["image_linked_from_news_source"]
+STRONG_EVIDENCE = ["entity_name_in_context", "page_context", "steam_app_id_match", "explicit_entity_signal", "official_news_linked_goods"]
 SURE = 0.8
 
 
@@ -42,12 +42,12 @@ def decided(candidates: DataFrame, items: DataFrame) -> DataFrame:
     """Adds has_item, kept, auto_select, fallback_only, type_match, tier, officiality, reasons, reviews and failures.
 
     candidates: item_id, candidate_id, image_type, type_confidence, source_type, source_url, image_url, page_official, width,
-    height, x_photo, animated, invalid_reason, conversion_error, source_linked, match, confidence, why; localized and
+    height, x_photo, animated, invalid_reason, conversion_error, source_linked, match, confidence, why (array); localized and
     localization_auto for screenshots of the localization policy, which has typed them. items: item_id, requirements.
     A candidate without an item is of no known type and waits for review. Null flags count as false.
     """
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    wanted = items.groupBy("item_id").agg(F.first("requirements").alias("requirements"), F.lit(True).alias("has_item"))
+    wanted = items.groupBy("item_id").agg(F.min("requirements").alias("requirements"), F.lit(True).alias("has_item"))
     c = candidates.join(wanted, "item_id", "left").withColumn("has_item", F.coalesce("has_item", F.lit(False)))
     known = F.col("has_item") | yes("localized")
     c = c.withColumns({
@@ -62,14 +62,14 @@ def decided(candidates: DataFrame, items: DataFrame) -> DataFrame:
     invalid, failed, animated, first = F.col("invalid_reason").isNotNull(), F.col("conversion_error").isNotNull(), yes("animated"), F.col("priority")
     clash = F.col("has_item") & F.coalesce(~F.col("match"), F.lit(False))
     open_ = F.col("has_item") & F.col("match").isNull()
-    weak = F.col("has_item") & yes("match") & ((~F.col("t.is_official") & (F.coalesce("confidence", F.lit(0.0)) < SURE)) | (F.col("t.tier").isin(STRICT_TIERS) & F.coalesce(F.col("why").isin(WEAK_EVIDENCE), F.lit(True))))
+    weak = F.col("has_item") & yes("match") & ((~F.col("t.is_official") & (F.coalesce("confidence", F.lit(0.0)) < SURE)) | (F.col("t.tier").isin(STRICT_TIERS) & ~F.coalesce(F.arrays_overlap("why", F.array(*map(F.lit, STRONG_EVIDENCE))), F.lit(False))))
     auto = (first | (F.col("typed") & F.col("fine"))) & F.col("linked") & ~animated & ~invalid & ~failed & (first | ~(open_ | weak))
     out, refused = clash & ~first, ~F.col("accepted") & ~first
     reasons = marks(
         (~F.col("typed") & ~invalid, F.when(F.col("type_confidence") < SURE, "type_evidence_insufficient").otherwise("automatic_type_selection_disabled")),
-        (first, "x_photo_priority"), (~F.col("linked"), "source_not_linked_to_news"), (F.col("image_type") == "decorative", "decorative_asset_not_auto_selected"),
+        (first, "socialdata_x_photo_priority"), (~F.col("linked"), "source_not_linked_to_news"), (F.col("image_type") == "decorative", "decorative_asset_not_auto_selected"),
         (animated, "animated_source_requires_review"), (~F.col("fine"), "below_minimum_resolution"), (invalid, F.concat(F.lit("invalid:"), "invalid_reason")),
-        (failed, "review_image_conversion_failed"), (clash & first, "x_photo_overrides_entity"), (out, "entity_conflict"), (open_, "entity_unverified"),
+        (failed, "review_image_conversion_failed"), (clash & first, "socialdata_x_photo_source_overrides_entity_classifier"), (out, "entity_conflict"), (open_, "entity_unverified"),
         (refused & ~out, F.concat(F.lit("image_type_rejected:"), "image_type")),
     )
     reviews = marks(

@@ -60,8 +60,8 @@ g AS (SELECT *, NOT gone AND NOT refused AS kept, CASE WHEN loc THEN locauto AND
   WHEN r = 0 THEN CASE t WHEN 'game_cg' THEN 1.0 WHEN 'gameplay_screenshot' THEN 0.8 WHEN 'key_visual' THEN 0.4 ELSE 0.1 END
   WHEN r = 1 THEN CASE t WHEN 'game_cg' THEN 1.0 WHEN 'gameplay_screenshot' THEN 0.85 WHEN 'key_visual' THEN 0.65 WHEN 'unknown' THEN 0.1 ELSE 0.25 END
   ELSE CASE t WHEN 'game_cg' THEN 0.9 WHEN 'gameplay_screenshot' THEN 0.8 WHEN 'key_visual' THEN 0.6 WHEN 'unknown' THEN 0.1 ELSE 0.25 END END::DOUBLE AS tm,
- CASE WHEN loc THEN [] ELSE list_filter([CASE WHEN NOT typed AND NOT inv THEN CASE WHEN tc < 0.8 THEN 'type_evidence_insufficient' ELSE 'automatic_type_selection_disabled' END END, CASE WHEN pr THEN 'x_photo_priority' END, CASE WHEN NOT linked THEN 'source_not_linked_to_news' END,
-  CASE WHEN anim THEN 'animated_source_requires_review' END, CASE WHEN NOT fine THEN 'below_minimum_resolution' END, CASE WHEN inv THEN 'invalid:corrupt' END, CASE WHEN broken THEN 'review_image_conversion_failed' END, CASE WHEN clash AND pr THEN 'x_photo_overrides_entity' END,
+ CASE WHEN loc THEN [] ELSE list_filter([CASE WHEN NOT typed AND NOT inv THEN CASE WHEN tc < 0.8 THEN 'type_evidence_insufficient' ELSE 'automatic_type_selection_disabled' END END, CASE WHEN pr THEN 'socialdata_x_photo_priority' END, CASE WHEN NOT linked THEN 'source_not_linked_to_news' END,
+  CASE WHEN anim THEN 'animated_source_requires_review' END, CASE WHEN NOT fine THEN 'below_minimum_resolution' END, CASE WHEN inv THEN 'invalid:corrupt' END, CASE WHEN broken THEN 'review_image_conversion_failed' END, CASE WHEN clash AND pr THEN 'socialdata_x_photo_source_overrides_entity_classifier' END,
   CASE WHEN gone THEN 'entity_conflict' END, CASE WHEN op THEN 'entity_unverified' END, CASE WHEN refused AND NOT gone THEN 'image_type_rejected:' || t END], lambda z: z IS NOT NULL) END AS why FROM f),
 s AS (SELECT *, CASE WHEN has THEN round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100 * (0.5::DOUBLE * (0.55::DOUBLE * 0.6::DOUBLE + 0.45::DOUBLE * CASE WHEN fb THEN greatest(0.0::DOUBLE, tm - 0.25::DOUBLE) ELSE tm END) + 0.2::DOUBLE * CASE WHEN loc THEN 0.85::DOUBLE ELSE off END
   + 0.3::DOUBLE * (0.7::DOUBLE * least(1.0::DOUBLE, w / 1280.0::DOUBLE, h / 720.0::DOUBLE) + 0.3::DOUBLE * detail)))) + 1e-9::DOUBLE, 6) END AS total, CASE WHEN loc THEN 0.85::DOUBLE ELSE off END AS trust FROM g),
@@ -84,7 +84,7 @@ def curated(spark, d):
     site = F.when(i % 5 == 0, F.concat(F.lit("https://a.example/"), _pick(SITE_PATHS, i))).otherwise(_pick(SITES, i))
     c = candidates(spark, d).withColumns({
         "type_confidence": F.when(i % 3 == 0, 0.92).when(i % 3 == 1, 0.68).otherwise(0.8), "source_linked": i % 4 != 3, "match": F.col("entity_match"), "confidence": F.when(i % 7 == 0, 0.75).otherwise(0.9),
-        "why": F.when(i % 6 == 0, "image_linked_from_news_source").otherwise("named"), "source_url": site, "image_url": site, "page_official": i % 2 == 0, "animated": i % 29 == 0,
+        "why": F.array(F.when(i % 6 == 0, "image_linked_from_news_source").otherwise("entity_name_in_context")), "source_url": site, "image_url": site, "page_official": i % 2 == 0, "animated": i % 29 == 0,
         "invalid_reason": F.when(i % 31 == 0, "corrupt"), "conversion_error": F.when(i % 37 == 0, "mode"), "localization_auto": i % 2 == 0, "base_relevance": F.lit(0.6),
     })
     first = F.min("doc_id")

@@ -119,14 +119,14 @@ def test_names_and_parents(spark):
 def test_curation_keeps_every_candidate_and_says_why(spark):
     from curaspark.operators.curate import curate
 
-    columns = "item_id string, candidate_id long, image_type string, type_confidence double, source_type string, source_url string, image_url string, page_official boolean, width int, height int, x_photo boolean, animated boolean, invalid_reason string, conversion_error string, source_linked boolean, match boolean, confidence double, why string, localized boolean, localization_auto boolean, sha256 string, detail double, base_relevance double, published_at timestamp, fetched_at timestamp"
+    columns = "item_id string, candidate_id long, image_type string, type_confidence double, source_type string, source_url string, image_url string, page_official boolean, width int, height int, x_photo boolean, animated boolean, invalid_reason string, conversion_error string, source_linked boolean, match boolean, confidence double, why array<string>, localized boolean, localization_auto boolean, sha256 string, detail double, base_relevance double, published_at timestamp, fetched_at timestamp"
     base = dict(
         item_id="a", candidate_id=1, image_type="game_cg", type_confidence=0.92, source_type="official_site", source_url="https://a.example/news/1", image_url="https://a.example/news/1", page_official=None, width=1280, height=720, x_photo=False, animated=False,
-        invalid_reason=None, conversion_error=None, source_linked=True, match=True, confidence=0.92, why="named", localized=None, localization_auto=None, sha256=None, detail=None, base_relevance=0.6, published_at=None, fetched_at=None,
+        invalid_reason=None, conversion_error=None, source_linked=True, match=True, confidence=0.92, why=["entity_name_in_context"], localized=None, localization_auto=None, sha256=None, detail=None, base_relevance=0.6, published_at=None, fetched_at=None,
     )
     cases = [
         {}, dict(match=False), dict(match=False, x_photo=True), dict(match=None), dict(image_type="cover"), dict(width=200), dict(source_linked=False), dict(item_id="none"), dict(item_id=None),
-        dict(invalid_reason="corrupt"), dict(animated=True), dict(sha256="s"), dict(sha256="s"), dict(source_url="https://a.example/shop/1", why="image_linked_from_news_source"), dict(image_type=None, type_confidence=None),
+        dict(invalid_reason="corrupt"), dict(animated=True), dict(sha256="s"), dict(sha256="s"), dict(source_url="https://a.example/shop/1", why=["image_linked_from_news_source"]), dict(image_type=None, type_confidence=None),
         dict(localized=True, localization_auto=True, image_type="gameplay_screenshot", match=False),
     ]
     rows = [base | {"candidate_id": n} | case for n, case in enumerate(cases)]
@@ -137,7 +137,7 @@ def test_curation_keeps_every_candidate_and_says_why(spark):
     assert len(got) == len(cases)
     status = [got[n].status for n in range(len(cases))]
     assert status == ["selected", "filtered", "selected", "unselected", "filtered", "unselected", "unselected", "unselected", "unselected", "invalid", "unselected", "selected", "unselected", "unselected", "unselected", "selected"]
-    assert got[1].failures == ["entity_mismatch"] and got[2].reasons == ["x_photo_priority", "x_photo_overrides_entity", "selected_by_rank_and_policy"]
+    assert got[1].failures == ["entity_mismatch"] and got[2].reasons == ["socialdata_x_photo_priority", "socialdata_x_photo_source_overrides_entity_classifier", "selected_by_rank_and_policy"]
     assert got[3].reasons == ["entity_unverified"] and got[4].reasons == ["image_type_rejected:cover"] and got[5].reviews == ["image_quality_review"]
     assert got[7].total is None and "source_not_linked_to_news" in got[7].reasons and got[7].image_type == "unknown"
     assert got[12].duplicate_of == 11 and got[12].reasons == ["duplicate_of_better_candidate"]
