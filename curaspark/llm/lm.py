@@ -36,7 +36,8 @@ from curaspark.llm.langid import held_out
 from curaspark.llm.pitman_yor import Seating
 from curaspark.llm.storage import drop, materialize, new_path
 
-SWEEPS, SAMPLES, MOVES = 3, 2, 2
+#: The first sweep opens one table a dish, the next is burn-in, the last SAMPLES (two at most: as many seatings are kept) are averaged.
+SWEEPS, SAMPLES, MOVES = 4, 2, 2
 #: Parts in which texts are sent to be scored: the disk that the rows take on their way is that of one part.
 PARTS = 3
 FOLD = 1
@@ -586,7 +587,9 @@ def _totals(rows: DataFrame, deal: Deal) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, vocabulary: DataFrame, sweeps: int = SWEEPS, samples: int = SAMPLES) -> Model:
-    """Gibbs sweeps over docs (id, text, trained) and their counted words."""
+    """Gibbs sweeps over docs (id, text, trained) and their counted words; the last `samples` (1 or 2) are averaged."""
+    if not 1 <= samples <= min(2, sweeps):
+        raise ValueError("one or two samples: the buckets keep their last two seatings")
     spark = docs.sparkSession
     n, v = vocabulary.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     deal, spelled = _deal(vocabulary, _distinct_names(vocabulary)), spelling(vocabulary)

@@ -17,8 +17,8 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Values of the griddy Gibbs steps for the two parameters of a level.
-DISCOUNTS = np.array([0.05, 0.2, 0.35, 0.5, 0.65, 0.75, 0.85, 0.95])
-STRENGTHS = np.array([0.1, 0.5, 2.0, 8.0, 32.0, 256.0, 2048.0])
+DISCOUNTS = np.array([0.02, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
+STRENGTHS = np.array([0.02, 0.1, 0.5, 2.0, 8.0, 32.0, 128.0, 512.0, 2048.0, 8192.0, 32768.0])
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
