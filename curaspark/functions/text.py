@@ -121,6 +121,23 @@ def diagnosis(kind: Column, status: Column, message: Column) -> Column:
     return named.otherwise(out("error", no))
 
 
+def stripped(x: Column) -> Column:
+    """Without white space at both ends, all that Unicode calls so."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
+def spans(x: Column, pattern: str) -> Column:
+    """Where a pattern matches: array of struct(start, end), counted from 0; the pattern must not match nothing."""
+    hits, gaps = F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), F.split(x, pattern, -1)
+    size = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda s, p: s + F.char_length(p))
+
+    def span(hit: Column, i: Column) -> Column:
+        start = size(gaps, i + 1) + size(hits, i)
+        return F.struct(start.alias("start"), (start + F.char_length(hit)).alias("end"))
+
+    return F.transform(hits, span)
+
+
 def first_date(x: Column) -> Column:
     """The first 20YY-M-D (also with 年月日, dots or slashes); null where it is no date."""
     part = lambda i: F.nullif(F.regexp_extract(x, r"(20\d{2})[年./-](\d{1,2})[月./-](\d{1,2})日?", i), F.lit("")).cast("int")
@@ -145,9 +162,17 @@ def cjk_number(x: Column) -> Column:
 
 def bracketed(title: Column) -> Column:
     """Names in the four kinds of brackets, in order, each once; else what comes before a publishing verb."""
-    inner = F.transform(F.regexp_extract_all(title, F.lit(r"[《『「【]([^》』」】]+)[》』」】]"), F.lit(1)), lambda s: F.trim(s))
-    before = F.trim(F.regexp_replace(title, r"(?:发售|発売|公布|公开|公開|更新|完成|制作|製作|体验版|體驗版)[\s\S]*$", ""))
-    return F.when(F.size(inner) > 0, F.array_distinct(inner)).when(before != "", F.array(before)).otherwise(F.array().cast("array<string>"))
+    quoted = F.regexp_extract_all(title, F.lit("《[^》]+》|『[^』]+』|「[^」]+」|【[^】]+】"), F.lit(0))
+    inner = F.transform(quoted, lambda s: stripped(F.substr(s, F.lit(2), F.char_length(s) - 2)))
+    before = F.regexp_replace(F.regexp_replace(title, r"(?:发售|発売|公布|公开|公開|更新|完成|制作|製作|体验版|體驗版)[\s\S]*$", ""), "^[ —:：-]+|[ —:：-]+$", "")
+    return F.when(F.size(quoted) > 0, F.array_distinct(F.filter(inner, lambda s: s != ""))).when(before != "", F.array(before)).otherwise(F.array().cast("array<string>"))
+
+
+def people(x: Column) -> Column:
+    """The first name after each word for drawing or writing, each once."""
+    after = F.regexp_extract_all(x, F.lit(r"(?U)(?:原画|原畫|剧本|劇本|脚本|シナリオ|插画|插畫|绘制|繪製)\s*([^。！？\n]+)"), F.lit(1))
+    names = F.transform(after, lambda s: stripped(F.get(F.split(s, "负责|担当|等|以及|和|、|,|，|绘制|繪製", -1), F.lit(0))))
+    return F.array_distinct(F.filter(names, lambda s: s != ""))
 
 
 def organizations(x: Column) -> Column:

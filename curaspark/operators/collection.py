@@ -2,37 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-# Fixed values.
-PUBLISHING = r"更新|公开|公開|公布|新增|追加|发布|發佈|發布|释出|釋出|展示|附上|解禁|登场|登場|掲載|配信|披露|new"
-IMAGE_NOUN = r"キービジュアル|key\s+visual|主(?:视觉|視覺)(?:图|圖)?|视觉图|視覺圖|(?:事件|イベント)?\s*cg|背景(?:图片|圖片|画|畫)?|插图|插畫|イラスト|贺图|賀圖"
-NOT_YET = r"尚未|暂未|暫未|还未|還未|不会|不會|即将|即將|将在|將在|将于|將於|计划|計劃|预计|預計|预定|預定|打算|明天|明日|后天|後天|下(?:周|週|个月|個月|月)"
-VIEWER = r"(?:事件|イベント)?\s*cg\s*(?:鉴赏|鑑賞|模式)"
-
-
-@F.pandas_udf(StringType())
-def image_need(texts: pd.Series) -> pd.Series:
-    """explicit_new_image where a sentence says that images were published now, else unknown.
-
-    Gallery-viewer features and what is announced for later do not count.
-    """
-    sentence, noun = re.compile(r"[。！？!?\n]+"), re.compile(IMAGE_NOUN, re.I)
-    publishing, later, viewer = re.compile(PUBLISHING, re.I), re.compile(NOT_YET), re.compile(VIEWER, re.I)
-
-    def need(text):
-        for s in sentence.split(text or ""):
-            s = viewer.sub("", s)
-            if noun.search(s) and publishing.search(s) and not later.search(s):
-                return "explicit_new_image"
-        return "unknown"
-
-    return texts.map(need)
 
 
 def inherit_evidence(candidates: DataFrame, seeds: DataFrame, keys: list[str], order: str, evidence: str, same: Column) -> DataFrame:

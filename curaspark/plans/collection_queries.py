@@ -21,11 +21,6 @@ def query(sql: str | None = None):
     return add
 
 
-@query()
-def image_need(spark, d):
-    return table(spark, d, "documents").select("doc_id", collection.image_need("text").alias("image_need"))
-
-
 @query("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS id, min(l_suppkey) AS l_suppkey, min(l_shipdate) AS l_shipdate, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1), s AS (SELECT * FROM c WHERE l_quantity >= 45)
 SELECT c.id, arg_min(s.id, s.id) AS inherited FROM c LEFT JOIN s ON c.l_suppkey = s.l_suppkey AND c.l_shipdate = s.l_shipdate AND c.id <> s.id GROUP BY c.id""")
 def evidence_inheritance(spark, d):

@@ -44,12 +44,3 @@ def age_gated(html: Column) -> Column:
 def video_urls(html: Column) -> Column:
     found = F.regexp_extract_all(html, F.lit(r"""(?i)<(?:video|source|iframe|a)\b[^>]*?(?:src|href)="([^"]+)\""""), F.lit(1))
     return F.array_distinct(F.array_compact(F.transform(found, urls.canonical_video)))
-
-
-def gallery_literals(script: Column) -> Column:
-    """Image paths of a gallery script's string literals; `prefix${n}suffix` templates run over Array.from lengths up to 500."""
-    plain = F.regexp_extract_all(script, F.lit(r"""["']([^"'$`]+\.(?:jpg|jpeg|png|webp))["']"""), F.lit(1))
-    n = F.least(F.lit(500), F.coalesce(F.nullif(F.regexp_extract(script, r"length:\s*(\d+)", 1), F.lit("")).try_cast("int"), F.lit(0)))
-    before, after = F.regexp_extract(script, r"`([^`$]*)\$\{[^}]*\}([^`$]*)`", 1), F.regexp_extract(script, r"`([^`$]*)\$\{[^}]*\}([^`$]*)`", 2)
-    made = F.when((n > 0) & (after != ""), F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(before, i.cast("string"), after))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(plain, made))

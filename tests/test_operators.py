@@ -93,14 +93,6 @@ def test_config_overlay():
     assert config.semantic_hash(config.overlay(config.DEFAULTS, {"network": {"timeout_seconds": 1}})) == config.semantic_hash(config.DEFAULTS)
 
 
-def test_image_need(spark):
-    from curaspark.operators import collection
-
-    texts = ["公式サイト更新。イベントCG公開", "新增CG鉴赏模式", "下周将公开主视觉图", "主视觉图公开！", None, ""]
-    got = [r.x for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", collection.image_need("t").alias("x")).orderBy("i").collect()]
-    assert got == ["explicit_new_image", "unknown", "unknown", "explicit_new_image", "unknown", "unknown"]
-
-
 def test_store_screenshots(spark):
     from curaspark.operators import collection
 

@@ -33,11 +33,6 @@ def test_links(spark):
     assert df.select(pages.absolute(F.col("url"), F.lit("n.html")).alias("x")).first().x == "https://a.example/dir/n.html"
 
 
-def test_gallery_script(spark):
-    s = 'const a=["x/1.png"]; Array.from({length: 3}, (_, i) => `cg/${i+1}.jpg`)'
-    assert spark.range(1).select(pages.gallery_literals(F.lit(s)).alias("x")).first().x == ["x/1.png", "cg/1.jpg", "cg/2.jpg", "cg/3.jpg"]
-
-
 def test_post_shapes(spark):
     photo = '{"type":"photo","media_url_https":"https://pbs.twimg.com/media/A.jpg","media_key":"k1"}'
     video = '{"type":"video","media_key":"k2","video_info":{"variants":[{"content_type":"application/x-mpegURL","url":"h"},{"bitrate":1,"content_type":"video/mp4","url":"a"},{"bitrate":9,"content_type":"video/mp4","url":"b"}]}}'
