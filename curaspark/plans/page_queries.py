@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curaspark.operators.classify import rules
-from curaspark.sources import dom
+from curaspark.sources import dom, gallery
 from curaspark.sources.tables import table
 
 QUERIES: dict = {}
@@ -46,6 +46,31 @@ def page_needs_render(spark: SparkSession, d: str) -> DataFrame:
     return dom.needs_render(table(spark, d, "pages").select("page_id", F.concat(shell, F.coalesce("html", F.lit(""))).alias("html")))
 
 
+# Gallery scripts by page_id % 4: counted, listed, listed for a page without the places, computed.
+SHOW = "show(galleryThumbnailTrack, galleryPreview);"
+SCRIPTS = [
+    "const imageCount = @;\nconst images = Array.from({ length: imageCount }, (_, index) => {\n const number = index + 1;\n return { preview: `https://img.example/#/${number}.jpg`, thumbnail: `https://img.example/t/${index + 1}.png` };\n});" + SHOW,
+    "const images = [{preview: 'https://img.example/#.jpg'}, 'https://img.example/#].jpg', {src: 'https://img.example/#.jpg'}, {src: 'https://img.example/s.jpg', thumbnail: 'data:x'}];" + SHOW,
+    "const images = ['https://img.example/#.jpg'];" + SHOW,
+    "const images = load('https://img.example/#.jpg');" + SHOW,
+]
+PLACES = '<div class="big-gallery"><p><img id="galleryPreview"></p><ul id="galleryThumbnailTrack"></ul></div>'
+
+
+def gallery_images(spark: SparkSession, d: str) -> DataFrame:
+    """Images that gallery scripts list outright, for pages that have the places for them."""
+    i = F.col("page_id")
+    script = F.replace(F.replace(F.element_at(F.array(*map(F.lit, SCRIPTS)), (i % 4 + 1).cast("int")), F.lit("#"), i.cast("string")), F.lit("@"), (i % 3 + 1).cast("string"))
+    html = F.concat(F.when(i % 4 == 2, '<img id="galleryPreview"><ul id="galleryThumbnailTrack"></ul>').otherwise(PLACES), F.coalesce("html", F.lit("")))
+    return gallery.gallery_images(table(spark, d, "pages").select("page_id", "url", html.alias("html"), script.alias("script")))
+
+
+QUERIES["gallery_images"] = gallery_images
+ORACLE_SQL["gallery_images"] = """
+WITH c AS (SELECT page_id, unnest(range(1, page_id % 3 + 2)) AS n FROM pages WHERE page_id % 4 = 0)
+SELECT page_id, n::INTEGER AS position, 'https://img.example/' || page_id || '/' || n || '.jpg' AS image_url, 'https://img.example/t/' || n || '.png' AS thumbnail_url FROM c
+UNION ALL SELECT page_id, k, CASE k WHEN 1 THEN 'https://img.example/' || page_id || '.jpg' WHEN 2 THEN 'https://img.example/' || page_id || '].jpg' ELSE 'https://img.example/s.jpg' END, NULL
+FROM pages, (SELECT unnest([1, 2, 4]) AS k) WHERE page_id % 4 = 1"""
 QUERIES["page_images"] = page_images
 ORACLE_SQL["page_images"] = """
 WITH p AS (SELECT page_id, page_id % 9 AS k, page_id::VARCHAR AS n FROM pages),
