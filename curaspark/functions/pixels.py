@@ -39,12 +39,12 @@ def measured(pixels: np.ndarray, width: int, height: int) -> tuple[float, float,
     sharp = _unit(EDGE * edge * EDGE_GAIN + LAPLACE * laplace * LAPLACE_GAIN)
     full = _unit(min(width / FULL[0], height / FULL[1]))
     detail = _unit(RESOLUTION * full + SHARPNESS * sharp - BLOCKINESS * blocks)
-    return tuple(round(v, 6) for v in (sharp, detail, _unit(1.0 - laplace * LAPLACE_GAIN), blocks))
+    return sharp, detail, _unit(1.0 - laplace * LAPLACE_GAIN), blocks
 
 
 @F.pandas_udf(METRICS)
 def quality(pixels: pd.Series, columns: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
-    """Metrics of gray values row by row with that many columns; nulls where they make no picture."""
+    """Metrics of gray values row by row with that many columns, not rounded; nulls where they make no picture."""
     out = []
     for p, n, w, h in zip(pixels, columns, width, height, strict=True):
         whole = p is not None and not pd.isna(n) and n > 0 and len(p) > 0 and len(p) % n == 0 and not pd.isna(w) and not pd.isna(h)

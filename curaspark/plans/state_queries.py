@@ -102,11 +102,11 @@ s AS (SELECT vec_id, any_value(w) AS w, any_value(h) AS h, sum(CASE WHEN mid THE
   (coalesce(sum(CASE WHEN mid AND x % 8 = 0 THEN abs(c - l) END), 0) + coalesce(sum(CASE WHEN mid AND y % 8 = 0 THEN abs(c - u) END), 0)) / greatest(1, count_if(mid AND x % 8 = 0) + count_if(mid AND y % 8 = 0))::DOUBLE AS bo,
   (coalesce(sum(CASE WHEN mid AND x % 8 = 1 THEN abs(c - l) END), 0) + coalesce(sum(CASE WHEN mid AND y % 8 = 1 THEN abs(c - u) END), 0)) / greatest(1, count_if(mid AND x % 8 = 1) + count_if(mid AND y % 8 = 1))::DOUBLE AS ins FROM e GROUP BY vec_id),
 m AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.55::DOUBLE * edge * 2.8::DOUBLE + 0.45::DOUBLE * lap * 8)) AS sharp, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (bo - ins) / 255 * 4)) AS blk FROM s)
-SELECT vec_id, round(sharp, 6) AS sharpness, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.65::DOUBLE * least(1.0::DOUBLE, w / 1280.0::DOUBLE, h / 720.0::DOUBLE) + 0.35::DOUBLE * sharp - 0.15::DOUBLE * blk)), 6) AS detail,
-round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - lap * 8)), 6) AS blur, round(blk, 6) AS blockiness FROM m""")
+SELECT vec_id, round(sharp + 1e-9::DOUBLE, 6) AS sharpness, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.65::DOUBLE * least(1.0::DOUBLE, w / 1280.0::DOUBLE, h / 720.0::DOUBLE) + 0.35::DOUBLE * sharp - 0.15::DOUBLE * blk)) + 1e-9::DOUBLE, 6) AS detail,
+round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - lap * 8)) + 1e-9::DOUBLE, 6) AS blur, round(blk + 1e-9::DOUBLE, 6) AS blockiness FROM m""")
 def pixel_quality(spark: SparkSession, d: str) -> DataFrame:
     """Sharpness, detail, blur and block borders of pictures of 8 rows and 16 columns, made of each embedding twice."""
     i, x = F.col("vec_id"), F.concat("embedding", "embedding")
     gray = F.transform(x, lambda v: F.floor((v.cast("double") + 1) * 128).cast("int"))
     q = pixels.quality(gray, F.lit(16), (400 + i % 1000).cast("int"), (300 + i % 500).cast("int"))
-    return table(spark, d, "embeddings").select("vec_id", q.alias("q")).select("vec_id", "q.*")
+    return table(spark, d, "embeddings").select("vec_id", q.alias("q")).select("vec_id", *[F.round(F.col(f"q.{n}") + 1e-9, 6).alias(n) for n in ("sharpness", "detail", "blur", "blockiness")])
