@@ -40,6 +40,8 @@ SHARD_BYTES, SHORT, SHARES = 1 << 20, 64, (1 / 16, 1 / 4, 1.0)
 #: (item, term) rows that a block of items has about; what tasks get of the items grows with a block, not with all items.
 BLOCK_ROWS = 1 << 18
 
+#: Texts that are handed to Python at once while the index is made.
+TEXTS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 #: Index rows that are read and handed to Python at once: their arrays are megabytes.
 FEW_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4", "spark.sql.parquet.columnarReaderBatchSize": "8"}
 
@@ -112,7 +114,8 @@ def _shard(number: int, ids: pa.Array, raw: np.ndarray, off: np.ndarray, having:
 def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the tiered index of all documents to path and returns it."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    having, tokens = totals(rows)
+    with settings(docs.sparkSession, TEXTS):
+        having, tokens = totals(rows)
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
@@ -124,7 +127,8 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 arrays = [pa.ListArray.from_arrays([0, len(v)], v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v) if k == "ids" else pa.array([v]) for k, v in row.items()]
                 yield pa.RecordBatch.from_arrays(arrays, names=list(row))
 
-    return materialize(rows.mapInArrow(run, INDEX), "tiers", path)
+    with settings(docs.sparkSession, TEXTS):
+        return materialize(rows.mapInArrow(run, INDEX), "tiers", path)
 
 
 class Block(NamedTuple):
