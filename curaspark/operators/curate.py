@@ -6,11 +6,15 @@ windows over the item.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curaspark import config
-from curaspark.operators import classify, selection
+from curaspark.functions import text
+from curaspark.operators import classify, evidence, image_need, image_types, near, selection
+from curaspark.session import written
 
 # What an item's text asks for, in order of the requirements.
 ANNOUNCING = r"贺图|賀圖|纪念图|紀念圖|应援图|應援圖|倒计时图|倒計時圖|周年|週年|commemorative|celebration|anniversary"
@@ -92,21 +96,51 @@ def decided(candidates: DataFrame, items: DataFrame) -> DataFrame:
     }).drop("d", "t", "linked", "fine", "priority", "accepted", "typed", "requirements")
 
 
-def curate(candidates: DataFrame, items: DataFrame, cap: int | None = None) -> DataFrame:
-    """decided(), scored, deduplicated by hash within the item and allocated: adds total, duplicate_of, selected, status and the last reasons.
+def _same_files(c: DataFrame) -> DataFrame:
+    """duplicate_of by equal file hashes alone."""
+    lead = lambda *by: F.first("candidate_id").over(Window.partitionBy("item_id", "sha256", *by).orderBy(*selection.representative_order()))
+    c = c.withColumn("lead", F.when(F.col("auto_select"), lead("kept", "auto_select")).otherwise(lead("kept")))
+    twin = F.col("kept") & F.col("sha256").isNotNull() & (F.col("lead") != F.col("candidate_id"))
+    return c.withColumn("duplicate_of", F.when(twin, F.col("lead"))).drop("lead")
+
+
+def _same_scenes(c: DataFrame, history: DataFrame, confirm: Callable[[Column, Column], Column]) -> DataFrame:
+    """duplicate_of by files and confirmed scenes, and the review of what history has: two elections over one table."""
+    c, _ = written(c, "curated")
+    fields = ["item_id", "candidate_id", "sha256", "phash", "picture", "x_photo", "auto_select", "entity_match", "detail", "width", "height", "total"]
+    found = lambda rows, out: near.representatives(rows.select(*fields), history, confirm).select("candidate_id", F.col("duplicate_of").alias(out), F.col("historical").alias(f"{out}_old"))
+    every, able = found(c.where("kept"), "of_all"), found(c.where("kept and auto_select"), "of_able")
+    c = c.join(every, "candidate_id", "left").join(able, "candidate_id", "left")
+    old = F.coalesce("of_all_old", F.lit(False))
+    reviews = F.when(old, F.array_append("reviews", F.lit("historical_duplicate"))).otherwise(F.col("reviews"))
+    return c.withColumns({"duplicate_of": F.when(F.col("auto_select"), F.col("of_able")).otherwise(F.col("of_all")), "reviews": reviews}).drop("of_all", "of_able", "of_all_old", "of_able_old")
+
+
+def curate(candidates: DataFrame, items: DataFrame, cap: int | None = None, scenes: tuple[DataFrame, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
+    """decided(), scored, deduplicated within the item and allocated: adds total, duplicate_of, selected, status and the last reasons.
 
     Reads base_relevance, sha256, detail, published_at and fetched_at besides. Candidates that may be selected are
-    deduplicated among themselves, the others against all that are kept.
+    deduplicated among themselves, the others against all that are kept: by file, or with scenes (history, confirm) by confirmed
+    near copies too, which reads phash and picture (see near.representatives).
     """
     cap = cap or config.DEFAULTS["selection"]["per_item_max"]
     c = selection.score(decided(candidates, items)).withColumn("total", F.when(F.col("has_item"), F.col("total")))
-    lead = lambda *by: F.first("candidate_id").over(Window.partitionBy("item_id", "sha256", *by).orderBy(*selection.representative_order()))
-    c = c.withColumn("lead", F.when(F.col("auto_select"), lead("kept", "auto_select")).otherwise(lead("kept")))
-    twin = F.col("kept") & F.col("sha256").isNotNull() & (F.col("lead") != F.col("candidate_id"))
-    c = c.withColumns({"duplicate_of": F.when(twin, F.col("lead")), "may": F.col("auto_select")}).withColumn("auto_select", F.col("may") & F.col("duplicate_of").isNull())
+    c = _same_scenes(c, *scenes) if scenes else _same_files(c)
+    c = c.withColumn("may", F.col("auto_select")).withColumn("auto_select", F.col("may") & F.col("duplicate_of").isNull())
     c = selection.allocate(c, cap=cap)
     full = F.sum(F.col("selected").cast("int")).over(Window.partitionBy("item_id")) >= cap
     invalid = F.col("invalid_reason").isNotNull()
     last = F.when(invalid, F.lit(None)).when(F.col("duplicate_of").isNotNull(), "duplicate_of_better_candidate").when(F.col("selected"), "selected_by_rank_and_policy").when(F.size("reasons") == 0, F.when(full, "news_selection_limit").otherwise("type_limit_or_minimum_score"))
     status = classify.rules((invalid, "invalid"), (~F.col("kept"), "filtered"), (F.col("selected"), "selected"), otherwise="unselected")
-    return c.withColumns({"reasons": F.array_compact(F.concat("reasons", F.array(last))), "status": status, "auto_select": F.col("may")}).drop("lead", "may", "slot")
+    return c.withColumns({"reasons": F.array_compact(F.concat("reasons", F.array(last))), "status": status, "auto_select": F.col("may")}).drop("may", "slot")
+
+
+def curate_evidence(candidates: DataFrame, items: DataFrame, scenes: tuple[DataFrame, Callable[[Column, Column], Column]] | None = None, cap: int | None = None) -> DataFrame:
+    """curate() of candidates and items as evidence.py has them: image types, entity evidence and what items ask for come from their
+    addresses, texts and page evidence. candidates also have candidate_id and what curate() reads of downloads and sizes."""
+    typed = image_types.image_types(candidates, items).withColumnRenamed("confidence", "type_confidence")
+    tied = evidence.entity_evidence(typed, items)
+    said = F.concat_ws(" ", "title", "body", F.array_join(evidence.strings(F.col("keywords")), " "))
+    need = image_need.image_need(F.concat_ws("\n", "title", "body"))["need"]
+    wanted = items.select("item_id", requirements(text.nfkc_casefold(said), F.col("event_type"), need).alias("requirements"))
+    return curate(tied, wanted, cap, scenes)

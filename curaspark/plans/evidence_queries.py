@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curaspark.functions import urls
+from curaspark.functions import hashing, urls
+from curaspark.operators import curate
 from curaspark.operators import evidence as ev
 from curaspark.operators import image_types as it
 from curaspark.operators.classify import rules
 from curaspark.plans.binding import URLS
+from curaspark.plans.near_queries import CONFIRM
 from curaspark.sources.tables import table
 
 QUERIES: dict = {}
@@ -57,6 +59,23 @@ def image_types(spark: SparkSession, d: str) -> DataFrame:
     return it.image_types(candidates(spark, d), items(spark, d)).select("page_id", "image_type", "confidence")
 
 
+def curated_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates from their addresses, texts and pictures to a status with reasons: types, ties, requirements, scenes and allocation."""
+    i, x = F.col("candidate_id"), F.col("x")
+    e = table(spark, d, "embeddings").select((F.col("vec_id") % 97).alias("n"), F.col("embedding").cast("array<double>").alias("x")).groupBy("n").agg(F.min("x").alias("x"))
+    c = candidates(spark, d).withColumnRenamed("page_id", "candidate_id").withColumn("n", F.floor(i / 2) % 97).join(e, "n")
+    gray = F.transform(x, lambda v: F.floor((v + 1) * 128).cast("int") + F.when(i % 2 == 0, 0).otherwise(1))
+    flag = lambda every: i % every == 0
+    c = c.withColumns({
+        "x_photo": flag(13), "animated": flag(29), "invalid_reason": F.when(flag(31), "corrupt"), "conversion_error": F.when(flag(37), "mode"), "page_official": flag(2), "localized": F.lit(False), "localization_auto": F.lit(False),
+        "sha256": F.when(flag(3), F.sha2(i.cast("string"), 256)), "phash": F.shiftleft(hashing.mean_bits(x, 0, 32), 32).bitwiseOR(hashing.mean_bits(x, 32, 32)), "picture": F.struct(F.lit(1.0).alias("aspect"), gray.alias("pixels")),
+        "detail": (i % 101) / F.lit(100.0), "base_relevance": F.lit(0.6), "published_at": F.lit(None).cast("timestamp"), "fetched_at": F.lit(None).cast("timestamp"),
+    }).drop("n", "x")
+    history = c.where("candidate_id % 50 = 7").select(F.lit(None).cast("string").alias("sha256"), "phash")
+    out = curate.curate_evidence(c, items(spark, d), (history, CONFIRM))
+    return out.select("item_id", "candidate_id", "image_type", "match", "status", "total", "duplicate_of", F.array_join("reasons", ",").alias("reasons"), F.array_join("reviews", ",").alias("reviews"))
+
+
 def _terms(x: str, terms: list[str]) -> str:
     plain = [t for t in terms if t.isascii()]
     other = "".join(f" OR contains({x}, '{t}')" for t in terms if not t.isascii())
@@ -109,4 +128,4 @@ r AS (SELECT *, CASE
   WHEN {_terms("every", it.PHOTO)} THEN ['photo', '0.9'] ELSE ['unknown', '0'] END AS t FROM c)
 SELECT page_id, t[1] AS image_type, t[2]::DOUBLE AS confidence FROM r"""
 
-QUERIES |= {"entity_evidence": entity_evidence, "image_types": image_types}
+QUERIES |= {"entity_evidence": entity_evidence, "image_types": image_types, "curated_evidence": curated_evidence}

@@ -130,3 +130,27 @@ def types(spark):
 @pytest.mark.parametrize("name", TYPES)
 def test_types(types, name):
     assert (types[name]["image_type"], types[name]["confidence"]) == TYPES[name][2]
+
+
+def test_curation_from_evidence_with_near_copies(spark):
+    """Two pictures of one scene and one of another: the better copy represents; history is flagged; types and ties are computed."""
+    from curaspark.operators import curate, near
+
+    item = {"source_urls": [WORK + "/"]}
+    shot = {"source_type": "official_site", "source_url": WORK + "/gallery.html", "signals": {"root_source_url": WORK, "gallery_path": True, "page_title": "Sakura Days"}, "image_alt": "Event CG", "width": 1280, "height": 720}
+    c, i = frames(spark, {n: (item, shot, None) for n in "abcd"})
+    gray = {"a": [10] * 64, "b": [11] * 64, "c": [11] * 32 + [200] * 32, "d": [10] * 64}
+    more = spark.createDataFrame(
+        [(n, 7, (1.0, p), {"a": 0.2, "b": 0.9, "c": 0.5, "d": 0.1}[n], None if n != "d" else "corrupt") for n, p in gray.items()],
+        "candidate_id string, phash long, picture struct<aspect double, pixels array<int>>, detail double, invalid_reason string",
+    )
+    c = c.withColumn("candidate_id", F.col("item_id")).join(more, "candidate_id").withColumn("item_id", F.lit("n"))
+    for flag in ("x_photo", "animated", "page_official", "localized", "localization_auto"):
+        c = c.withColumn(flag, F.lit(False))
+    c = c.withColumns({"conversion_error": F.lit(None).cast("string"), "sha256": F.lit(None).cast("string"), "base_relevance": F.lit(0.6), "published_at": F.lit(None).cast("timestamp"), "fetched_at": F.lit(None).cast("timestamp")})
+    news = i.limit(1).withColumn("item_id", F.lit("n"))
+    history = spark.createDataFrame([(None, 7)], "sha256 string, phash long")
+    out = {r["candidate_id"]: r for r in curate.curate_evidence(c, news, (history, near.pixel_confirmation(8, 4))).collect()}
+    assert {n: (r["image_type"], r["match"]) for n, r in out.items()} == {n: ("game_cg", True) for n in "abcd"}
+    assert {n: (r["status"], r["duplicate_of"]) for n, r in out.items()} == {"a": ("unselected", "b"), "b": ("selected", None), "c": ("selected", None), "d": ("invalid", "b")}
+    assert out["a"]["reasons"] == ["duplicate_of_better_candidate"] and all("historical_duplicate" in r["reviews"] for r in out.values())
