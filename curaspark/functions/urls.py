@@ -142,8 +142,23 @@ def canonical_video(u: Column) -> Column:
     )
 
 
+# Address ranges that no page of the public network has, as patterns of their literals.
+PRIVATE_V4 = (
+    r"^(?:0|10|127)\.|^169\.254\.|^192\.168\.|^172\.(?:1[6-9]|2[0-9]|3[01])\.|^100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\."
+    r"|^192\.0\.[02]\.|^198\.(?:1[89]|51\.100)\.|^203\.0\.113\.|^2(?:2[4-9]|[3-5][0-9])\."
+)
+PLAIN_V4 = r"^(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}$"
+OTHER_V4 = r"^(?:0x[0-9a-f]*|[0-9]+)(?:\.(?:0x[0-9a-f]*|[0-9]+)){0,3}$"
+PUBLIC_V6, PRIVATE_V6 = r"^\[[23][0-9a-f]{3}:", r"^\[(?:2001:0?db8:|2001:(?:0{0,3}|[01]?[0-9a-f]{1,2}):|2002:)"
+
+
 def safe_target(u: Column) -> Column:
-    """http or https, no credentials, no literal address of a private, loopback or reserved range."""
-    h = host(u)
-    local = F.regexp_like(h, F.lit(r"^(localhost|0\.|10\.|127\.|169\.254\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|2(2[4-9]|[3-5][0-9])\.|\[)"))
-    return scheme(u).isin("http", "https") & (h != "") & ~F.contains(netloc(u), F.lit("@")) & ~local
+    """http or https, no credentials, no literal address of a private, loopback or reserved range, however it is written.
+
+    Addresses in one number, in hexadecimal or octal are refused whatever they mean, and so are mapped ones.
+    """
+    h = F.regexp_replace(F.lower(host(u)), r"\.$", "")
+    plain = F.regexp_like(h, F.lit(PLAIN_V4))
+    local = (h == "localhost") | h.endswith(".localhost") | (plain & F.regexp_like(h, F.lit(PRIVATE_V4))) | (~plain & F.regexp_like(h, F.lit(OTHER_V4)))
+    six = h.startswith("[") & ~(F.regexp_like(h, F.lit(PUBLIC_V6)) & ~F.regexp_like(h, F.lit(PRIVATE_V6)))
+    return scheme(u).isin("http", "https") & (h != "") & ~F.contains(netloc(u), F.lit("@")) & ~local & ~six

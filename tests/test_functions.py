@@ -76,5 +76,12 @@ def test_urls(spark):
         assert one(spark, urls.safe_target(F.col("x")), x=u) is ok
 
 
+def test_addresses_of_no_public_page_however_written(spark):
+    bad = ["http://2130706433/", "http://0x7f.1/", "http://0177.0.0.1/", "http://127.1/", "http://[::1]/", "http://[::ffff:10.0.0.1]/", "http://[fe80::1]/", "http://[fc00::1]/", "http://[2001:db8::1]/", "http://[2002:7f00::]/", "http://100.64.0.1/", "http://198.18.0.1/", "http://224.0.0.1/", "http://255.255.255.255/", "http://localhost./", "http://a.localhost/", "http://0.0.0.0/"]
+    good = ["http://8.8.8.8/", "http://172.32.0.1/", "http://100.128.0.1/", "http://[2606:4700::1111]/", "https://10.example/", "https://0x.example/", "http://192.0.3.1/"]
+    rows = spark.createDataFrame([(u,) for u in bad + good], "u string").select("u", urls.safe_target(F.col("u")).alias("ok")).collect()
+    assert [r["u"] for r in rows if r["ok"]] == good
+
+
 def test_hamming(spark):
     assert one(spark, hashing.hamming_hex(F.col("a"), F.col("b")), a="ffffffffffffffff", b="0000000000000001") == 63
