@@ -262,23 +262,6 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, grams array<long>")
 
 
-#: Bytes of a set's sketch, the least set with one of minimum hashes, and the share of equal ones under which a pair is no near copy.
-#: Of a pair of similarity 0.8 fewer are equal with a chance of about 1e-9 (64 bins, binomial).
-BINS, SKETCHED, EQUAL = 64, 256, 0.45
-
-
-def sketch(h: np.ndarray) -> bytes:
-    """BINS bytes of a set. SKETCHED hashes or more: one-permutation minimum hashes, a byte a bin; zero: an empty bin. Fewer: a
-    bitmap in which each hash flips one bit, so two sets differ in at least as many hashes as their bitmaps in bits."""
-    if len(h) < SKETCHED:
-        return np.packbits(np.bincount((h & np.uint64(8 * BINS - 1)).astype(np.int64), minlength=8 * BINS) & 1).tobytes()
-    out = np.zeros(BINS, np.uint8)
-    bins = (h >> np.uint64(58)).astype(np.int64)  # rises: h is sorted
-    first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
-    out[bins[first]] = (textops.mix(h[first]) % np.uint64(255)).astype(np.uint8) + 1
-    return out.tobytes()
-
-
 def nodes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(id, fp, n, s1, s2, prefix, sketch): the fingerprint, and of the set of distinct shingles the size, a 128-bit hash, the prefix
     and a sketch."""
@@ -295,7 +278,7 @@ def nodes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity:
                 prefix, cuts = set_join.prefixes(np.concatenate([np.zeros(0, np.uint64), *sets]), bounds, similarity, often)
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(prefix.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(majority(h, edges).view(np.int64)), pa.array(n.astype(np.int32)), pa.array(names[:, 0]), pa.array(names[:, 1]), lists, pa.array([sketch(x) for x in sets], pa.binary())],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(majority(h, edges).view(np.int64)), pa.array(n.astype(np.int32)), pa.array(names[:, 0]), pa.array(names[:, 1]), lists, pa.array([set_join.sketch(x) for x in sets], pa.binary())],
                     names=["id", "fp", "n", "s1", "s2", "prefix", "sketch"],
                 )
 
@@ -307,7 +290,8 @@ def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(node, root) of near copies: all that links of shingle sets with a Jaccard similarity of `similarity` or more join.
 
     Nodes are the distinct shingle sets. SimHash links of up to `distance` bits, the closest of each set, verified, join most near
-    copies; then every pair of sets that prefix filtering leaves is verified, but those in one group by verified links.
+    copies; then every pair of sets that prefix filtering leaves is verified, but those in one group by verified links: first the
+    pairs with one set of each shingle, then the nearest of each set, so that a large group is joined before its pairs are made.
     Every id but the smallest of its group has a row. Ids must be unique; null ids are in no group.
     """
     docs = docs.where(F.col(id_col).isNotNull())
@@ -324,61 +308,43 @@ def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     twins = table(prints.select("id", "s1", "s2").join(equal, ["s1", "s2"]).where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")), "twins")
     single = prints.join(twins, F.col("id") == F.col("u"), "left_anti")
 
-    distinct = table(single.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    same = single.select("id", "fp").join(distinct, "fp").where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
-    links = near_links(distinct, distance, 2).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    name = lambda c: distinct.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_id"))
-    other = links.join(name("u"), "u").join(name("v"), "v").select(F.greatest("u_id", "v_id").alias("u"), F.least("u_id", "v_id").alias("v"))
-    closest = lambda pairs: pairs.groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("v"))
-    tried = table(closest(promising(same.unionByName(other), single, similarity)), "pairs")
-    kept = table(twins.unionByName(similar(docs, tried, id_col, text_col, shingle, similarity, table)), "kept")
-
-    rows = table(set_join.postings(single), "postings")
-
-    def more(pairs: DataFrame) -> DataFrame:
-        return table(kept.unionByName(similar(docs, pairs, id_col, text_col, shingle, similarity, table)), "kept")
-
-    def untried(hub: bool) -> DataFrame:
-        return table(promising(set_join.candidates(rows, components(kept), similarity, hub).join(tried, ["u", "v"], "left_anti"), single, similarity), "pairs")
-
-    found = untried(True).select("u", "v")  # links to one set of each bucket first: what they join needs no other comparison
-    kept, tried = more(found), tried.unionByName(found)
-    found = untried(False)
-    first = table(closest(found), "closest")  # for the same reason
-    kept = more(first)
-    root = components(kept)
-    side = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    rest = found.select("u", "v").join(first, ["u", "v"], "left_anti").join(side("u"), "u", "left").join(side("v"), "v", "left")
-    kept = more(rest.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"))
-    groups = components(kept)  # a table of its own
+    side = lambda c: (F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    distinct = table(single.groupBy("fp").agg(F.min_by(F.struct("id", "n", "sketch"), "id").alias("least")).select("fp", "least.*"), "distinct")
+    same = single.select("fp", *side("u")).join(distinct.select("fp", *side("v")), "fp").where("u <> v").drop("fp")
+    links = near_links(distinct, distance, 2).select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y")).distinct()
+    name = lambda fp, c: distinct.select(F.col("fp").alias(fp), *side(c))
+    other = links.join(name("x", "u"), "x").join(name("y", "v"), "y").select(same.columns)
+    closest = lambda pairs: pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), "far").groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("v"))
+    tried = table(closest(promising(same.unionByName(other), similarity)), "pairs")
+    roots = components(twins.unionByName(similar(docs, tried, id_col, text_col, shingle, similarity, table)))
+
+    rows = table(set_join.with_sketches(table(set_join.postings(single), "prefixes"), single), "postings")
+    for pick in ("hub", "nearest", "all"):
+        pairs = set_join.candidates(rows, roots, similarity, pick).join(tried, ["u", "v"], "left_anti")
+        both = pairs.join(single.select(*side("u")), "u").join(single.select(*side("v")), "v")
+        found = promising(both, similarity)
+        found = table(closest(found) if pick == "nearest" else found.select("u", "v"), "pairs")
+        linked = similar(docs, found, id_col, text_col, shingle, similarity, table)
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(linked))
+        tried = tried.unionByName(found)
     for path in made:
         drop(docs.sparkSession, path)
-    return groups
-
+    return roots  # a table of its own
 
-def promising(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(u, v, far) of the pairs whose sets' sizes and sketches allow the similarity: only their sets are moved and compared.
-    far: how unlike the sketches are.
 
-    Bitmaps lose no pair; minimum hashes one of similarity 0.8 with the chance given above. Pairs with one of each are kept.
-    """
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    both = pairs.join(side("u"), "u").join(side("v"), "v").where(F.least("nu", "nv") >= F.lit(similarity - 1e-9) * F.greatest("nu", "nv"))
+def promising(both: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, far) of the pairs (u, v, nu, nv, su, sv) whose sets' sizes and sketches allow the similarity: only their sets are moved
+    and compared. far: how unlike the sketches are."""
 
     def run(batches):
         for batch in batches:
             nu, nv = (batch.column(i).to_numpy() for i in (2, 3))
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
-            some = (a > 0) & (b > 0)
-            alike = ((a == b) & some).sum(axis=1) >= EQUAL * some.sum(axis=1)
-            apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-            close = apart <= (nu.astype(np.int64) + nv) * (1 - similarity) / (1 + similarity) + 1e-6
-            small, large = np.maximum(nu, nv) < SKETCHED, np.minimum(nu, nv) >= SKETCHED
-            ok = np.where(small, close, np.where(large, alike, True))
-            far = np.where(small, apart / np.maximum(nu + nv, 1), np.where(large, (a != b).mean(axis=1), 1.0))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, set_join.BINS) for i in (4, 5))
+            ok, far = set_join.alike(a, b, nu, nv, similarity)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far)], names=["u", "v", "far"]).filter(pa.array(ok))
 
-    return both.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long, far double")
+    sized = both.where(F.least("nu", "nv") >= F.lit(similarity - 1e-9) * F.greatest("nu", "nv"))
+    return sized.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long, far double")
 
 
 def similar(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, table=materialize) -> DataFrame:

@@ -495,6 +495,31 @@ def test_near_copies_that_repeat_lines_and_large_buckets(spark):
     assert {r.node: r.root for r in simhash.verified_groups(df).collect()} == want
 
 
+def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for _ in range(rng.randrange(8)):
+            words[rng.randrange(len(words))] = f"v{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    want, near = near_groups(rows)
+    assert len(near) > 10_000 and len(want) < 399  # some copies are near no other one
+    made = []
+
+    def counted(df, name, path=None, write=simhash.materialize):
+        out = write(df, name, path)
+        if name == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.node: r.root for r in simhash.verified_groups(df).collect()} == want
+    assert made and max(made) <= 2 * len(rows), made
+
+
 def kept_words(rows, window=13):
     words = {i: WORD.findall(t or "") for i, t in rows}
     first = {}
