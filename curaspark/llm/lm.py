@@ -66,8 +66,10 @@ def cell(x: np.ndarray) -> bytes:
         most = int(x.max()) if len(x) else 0
         x = x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
     width = x.dtype.itemsize
-    data = np.ascontiguousarray(x).view(np.uint8).reshape(-1, width).T.tobytes() if width > 1 else x.tobytes()
-    return x.dtype.str[1:].encode() + _pack.compress(data)
+    data = np.empty((width, len(x)), np.uint8)
+    for k, plane in enumerate(data):
+        plane[:] = np.ascontiguousarray(x).view(np.uint8)[k::width]
+    return x.dtype.str[1:].encode() + _pack.compress(data.tobytes())
 
 
 def opened(b: bytes) -> np.ndarray:

@@ -22,14 +22,18 @@ STRENGTHS = np.array([0.02, 0.1, 0.5, 2.0, 8.0, 32.0, 128.0, 512.0, 2048.0, 8192
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series above 8, and the recurrence below."""
-    shift = np.ones_like(x)
-    for k in range(8):
-        shift *= np.where(x < 8, x + k, 1.0)
-    y = np.where(x < 8, x + 8, x)
+    """Stirling's series above 8, and the recurrence below: x (x + 1) ... (x + 7) as y (y + 6) (y + 10) (y + 12) of y = x (x + 7)."""
+    y, low = x, np.flatnonzero(x < 8)
+    if len(low):
+        small = x[low]
+        y = x.copy()
+        y[low] = small + 8
     z = 1 / (y * y)
-    series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - np.log(shift)
+    out = (y - 0.5) * np.log(y) - y + (0.5 * np.log(2 * np.pi) + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y)
+    if len(low):
+        shift = small * (small + 7)
+        out[low] -= np.log(shift * (shift + 6) * (shift + 10) * (shift + 12))
+    return out
 
 
 @dataclass

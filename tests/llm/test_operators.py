@@ -684,3 +684,14 @@ def test_pretokens_are_compared_whatever_their_hash(monkeypatch):
         assert [one.decode(x).decode() for x in got] == texts
     monkeypatch.undo()
     assert got == bpe.Encoder(path).encode(raw, off)
+
+
+def test_log_gamma_and_cells_of_every_width():
+    import math
+
+    x = np.concatenate([np.linspace(1e-9, 20, 5_000), 10.0 ** np.arange(-9, 10)])
+    want = np.array([math.lgamma(v) for v in x])
+    assert np.allclose(pitman_yor.log_gamma(x), want, rtol=1e-9, atol=1e-9)
+    for v in (np.arange(0), np.arange(9), np.arange(9) * 300, np.arange(9) * 70_000, np.arange(9) << 40, np.arange(9) / 7):
+        got = lm.opened(lm.cell(v))
+        assert len(got) == len(v) and (got == v).all()
