@@ -216,11 +216,13 @@ def known_item_lookup(spark, d):
 @query("""WITH p AS (SELECT s.s_suppkey, c.c_custkey, CASE WHEN s.s_nationkey = c.c_nationkey AND s.s_suppkey % 3 = c.c_custkey % 3 THEN 3 WHEN s.s_nationkey = c.c_nationkey THEN 2 ELSE 0 END AS rank FROM supplier s JOIN customer c ON s.s_nationkey = c.c_nationkey),
 r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY rank DESC, s_suppkey) AS rn FROM p WHERE rank > 0) SELECT c_custkey, s_suppkey, rank FROM r WHERE rn <= 3""")
 def history_rank_lookup(spark, d):
-    """Earlier sources of an item, ranked by how they match it."""
-    s, c = table(spark, d, "supplier"), table(spark, d, "customer")
+    """Earlier sources of an item, ranked by how they match it. Beyond the three least of its nation and residue no source can be among an item's three, so those alone are joined."""
+    s, c = table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    least = Window.partitionBy("s_nationkey", F.col("s_suppkey") % 3).orderBy("s_suppkey")
+    s = s.withColumn("place", F.row_number().over(least)).where("place <= 3")
     rank = classify.rules((F.col("s_suppkey") % 3 == F.col("c_custkey") % 3, 3), otherwise=2)
     p = s.join(c, s["s_nationkey"] == c["c_nationkey"]).select("c_custkey", "s_suppkey", rank.alias("rank"))
-    w = Window.partitionBy("c_custkey").orderBy(F.desc("rank"), "s_suppkey")
+    w = Window.partitionBy("c_custkey").orderBy(F.desc("rank"), F.asc_nulls_last("s_suppkey"))
     return p.withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("c_custkey", "s_suppkey", "rank")
 
 
